@@ -5,10 +5,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedloom.llm import leaks, mixing, spam
+from feedloom.llm import leaks, mixing, pii, spam
 from feedloom.runtime import table
 
 
+def _texts(spark: SparkSession, sf: str) -> DataFrame:
+    """(src, rec_id, text) of submissions and inbox, one row per record: repeated deliveries carry the same facts."""
+    s = table(spark, sf, "submissions").select(F.lit("submissions").alias("src"), F.col("id").alias("rec_id"), F.col("body").alias("text"))
+    i = table(spark, sf, "inbox").select(F.lit("inbox").alias("src"), F.col("ticket_id").alias("rec_id"), F.col("description").alias("text"))
+    return s.unionByName(i)
+
+
+def _records(spark: SparkSession, sf: str) -> DataFrame:
+    return _texts(spark, sf).groupBy("src", "rec_id").agg(F.min("text").alias("text"))
+
+
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    return pii.items(_texts(spark, sf), ["src", "rec_id"], "text").distinct()
+
+
+#: Key of the pseudonyms in this demonstration; a deployment passes its own.
+DEMO_KEY = b"feedloom demonstration key"
+
+
+def p2_redacted(spark: SparkSession, sf: str) -> DataFrame:
+    """Every text with typed placeholders and format-preserving pseudonyms."""
+    return _records(spark, sf).select("src", "rec_id", pii.redacted(F.col("text"), DEMO_KEY).alias("redacted"))
+
+
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     return leaks.leaks(table(spark, sf, "documents"), table(spark, sf, "eval_items")).select("doc_id", "item_id")
 
@@ -39,7 +63,7 @@ def p9_scores(spark: SparkSession, sf: str) -> DataFrame:
     return spam.page_scores(table(spark, sf, "documents")).select("doc_id", "n_words", F.round("share", 6).alias("share"))
 
 
-QUERIES = {f.__name__: f for f in (p7_found, p8_found, p8_mixture, p8_shares, p9_found, p9_scores)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_redacted, p7_found, p8_found, p8_mixture, p8_shares, p9_found, p9_scores)}
 
 SQL = {
     "p7_found": r"""WITH d AS (SELECT doc_id, regexp_extract_all(lower(regexp_replace(text, '</?[A-Za-z][^<>]{0,300}>|&(?:[A-Za-z]{2,8}|#x?[0-9A-Fa-f]{1,6});', ' ', 'g')), '[\p{L}\p{N}]+') AS w FROM documents),
