@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedloom.llm import leaks, mixing, pii, spam
+from feedloom.llm import leaks, mixing, neardup, pii, spam
 from feedloom.runtime import table
 
 
@@ -33,6 +33,19 @@ def p2_redacted(spark: SparkSession, sf: str) -> DataFrame:
     return _records(spark, sf).select("src", "rec_id", pii.redacted(F.col("text"), DEMO_KEY).alias("redacted"))
 
 
+def _one_text(spark: SparkSession, sf: str) -> DataFrame:
+    return _records(spark, sf).select(F.col("rec_id").alias("rec"), "text")
+
+
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    return neardup.similar_pairs(_one_text(spark, sf))
+
+
+def p3_groups(spark: SparkSession, sf: str) -> DataFrame:
+    """Every record with its near-duplicate group and number of links."""
+    return neardup.groups(_one_text(spark, sf))
+
+
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     return leaks.leaks(table(spark, sf, "documents"), table(spark, sf, "eval_items")).select("doc_id", "item_id")
 
@@ -63,7 +76,7 @@ def p9_scores(spark: SparkSession, sf: str) -> DataFrame:
     return spam.page_scores(table(spark, sf, "documents")).select("doc_id", "n_words", F.round("share", 6).alias("share"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_redacted, p7_found, p8_found, p8_mixture, p8_shares, p9_found, p9_scores)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_redacted, p3_found, p3_groups, p7_found, p8_found, p8_mixture, p8_shares, p9_found, p9_scores)}
 
 SQL = {
     "p7_found": r"""WITH d AS (SELECT doc_id, regexp_extract_all(lower(regexp_replace(text, '</?[A-Za-z][^<>]{0,300}>|&(?:[A-Za-z]{2,8}|#x?[0-9A-Fa-f]{1,6});', ' ', 'g')), '[\p{L}\p{N}]+') AS w FROM documents),
