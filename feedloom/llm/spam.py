@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -55,12 +56,28 @@ def tokens(text: str) -> tuple[list[str], list[int]]:
     return words, kinds
 
 
-def _pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+#: Rows a worker gathers before it hands them on.
+FLUSH = 40_000
+
+
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (doc_id, a, b, n, at): a pair of neighbours and where it stands; b null: a word and its count; a null: n words, log pairs at."""
-    for pdf in batches:
-        out: list[tuple] = []
-        for doc, text in zip(pdf["doc_id"], pdf["text"]):
-            words, kinds = tokens(text) if isinstance(text, str) else ([], [])
+    rows: tuple[list, ...] = ([], [], [], [], [])
+
+    def put(*values) -> None:
+        for column, v in zip(rows, values):
+            column.append(v)
+
+    def flush() -> pa.RecordBatch:
+        kinds = (pa.int64(), pa.string(), pa.string(), pa.int32(), pa.list_(pa.int32()))
+        out = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds)], names=["doc_id", "a", "b", "n", "at"])
+        for c in rows:
+            c.clear()
+        return out
+
+    for batch in batches:
+        for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
+            words, kinds = tokens(text.as_py()) if text.is_valid else ([], [])
             if len(words) < 2:
                 continue
             where: dict[tuple[str, str], list[int]] = {}
@@ -71,11 +88,15 @@ def _pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for w, k in zip(words, kinds):
                 if k == TEXT:
                     count[w] = count.get(w, 0) + 1
-            logs = [i for i in range(len(words) - 1) if kinds[i] == LOG and kinds[i + 1] == LOG]
-            out.append((doc, None, None, len(words), logs))
-            out += [(doc, a, b, len(at), at) for (a, b), at in where.items()]
-            out += [(doc, w, None, n, None) for w, n in count.items()]
-        yield pd.DataFrame(out, columns=["doc_id", "a", "b", "n", "at"])
+            put(doc, None, None, len(words), [i for i in range(len(words) - 1) if kinds[i] == LOG and kinds[i + 1] == LOG])
+            for (a, b), at in where.items():
+                put(doc, a, b, len(at), at)
+            for w, n in count.items():
+                put(doc, w, None, n, None)
+            if len(rows[0]) >= FLUSH:
+                yield flush()
+    if rows[0]:
+        yield flush()
 
 
 def _share(n: pd.Series, logs: pd.Series, good: pd.Series) -> pd.Series:
@@ -95,7 +116,7 @@ def _share(n: pd.Series, logs: pd.Series, good: pd.Series) -> pd.Series:
 
 def page_scores(docs: DataFrame) -> DataFrame:
     """(doc_id, n_words, share): share of words in keyword, link and tag passages, for pages of two words or more."""
-    rows = written(docs.select("doc_id", "text").mapInPandas(_pairs, "doc_id bigint, a string, b string, n int, at array<int>"), "spam-pairs")
+    rows = written(docs.select("doc_id", "text").mapInArrow(_pairs, "doc_id bigint, a string, b string, n int, at array<int>"), "spam-pairs")
     words = rows.filter("a IS NOT NULL AND b IS NULL").groupBy("a").agg(F.sum("n").alias("count"))
     words = written(words, "spam-words")
     total = words.agg(F.sum("count").cast("double").alias("total"))
