@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedloom.llm import leaks, mixing, neardup, pii, spam
+from feedloom.llm import issues_by_text, leaks, mixing, neardup, pii, spam
 from feedloom.runtime import table
 
 
@@ -46,6 +46,20 @@ def p3_groups(spark: SparkSession, sf: str) -> DataFrame:
     return neardup.groups(_one_text(spark, sf))
 
 
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    label = issues_by_text.clusters(_one_text(spark, sf)).filter("cluster IS NOT NULL").select("rec", "cluster")
+    probe = table(spark, sf, "cluster_probe").select("rec_a", "rec_b")
+    a = label.withColumnsRenamed({"rec": "rec_a", "cluster": "ca"})
+    b = label.withColumnsRenamed({"rec": "rec_b", "cluster": "cb"})
+    return probe.join(a, "rec_a").join(b, "rec_b").filter("ca = cb").select("rec_a", "rec_b").distinct()
+
+
+def p6_clusters(spark: SparkSession, sf: str) -> DataFrame:
+    """Every cluster with its size and most typical members."""
+    records = _one_text(spark, sf)
+    return issues_by_text.summary(issues_by_text.clusters(records), records)
+
+
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     return leaks.leaks(table(spark, sf, "documents"), table(spark, sf, "eval_items")).select("doc_id", "item_id")
 
@@ -76,7 +90,7 @@ def p9_scores(spark: SparkSession, sf: str) -> DataFrame:
     return spam.page_scores(table(spark, sf, "documents")).select("doc_id", "n_words", F.round("share", 6).alias("share"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_redacted, p3_found, p3_groups, p7_found, p8_found, p8_mixture, p8_shares, p9_found, p9_scores)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_redacted, p3_found, p3_groups, p6_found, p6_clusters, p7_found, p8_found, p8_mixture, p8_shares, p9_found, p9_scores)}
 
 SQL = {
     "p7_found": r"""WITH d AS (SELECT doc_id, regexp_extract_all(lower(regexp_replace(text, '</?[A-Za-z][^<>]{0,300}>|&(?:[A-Za-z]{2,8}|#x?[0-9A-Fa-f]{1,6});', ' ', 'g')), '[\p{L}\p{N}]+') AS w FROM documents),
