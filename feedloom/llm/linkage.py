@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.runtime import written
+from feedloom.runtime import maybe_broadcast, written
 
 
 def average_linkage(edges: DataFrame, threshold: float, max_rounds: int = 200) -> DataFrame:
@@ -13,7 +13,7 @@ def average_linkage(edges: DataFrame, threshold: float, max_rounds: int = 200) -
 
     The similarity of two clusters is the mean over all pairs of their nodes, pairs without an edge counting 0, so the
     sum of edge weights and the two sizes are all a merge needs. Each round every cluster names its most similar
-    neighbour (equal similarities: the smaller pair of ids), and every pair that names each other merges if its
+    neighbour (equal similarities: by a hash of the pair of ids), and every pair that names each other merges if its
     similarity reaches the threshold. Reciprocal pairs of average linkage stay reciprocal whatever else merges, so the
     result is that of merging one best pair at a time. The rounds end when no pair merges; each is a written table.
 
@@ -22,24 +22,24 @@ def average_linkage(edges: DataFrame, threshold: float, max_rounds: int = 200) -
     e = edges.filter("a IS NOT NULL AND b IS NOT NULL AND a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("sim").alias("s"))
     e = written(e, "rnn-edges")
     nodes = e.select(F.col("a").alias("id")).unionByName(e.select(F.col("b").alias("id"))).distinct()
-    where = written(nodes.select("id", F.col("id").alias("cluster"), F.lit(1).cast("bigint").alias("size")), "rnn-nodes")
-    size = where.select("cluster", "size")
+    where = written(nodes.select("id", F.col("id").alias("cluster")), "rnn-nodes")
     for k in range(max_rounds):
-        sized = e.join(size.withColumnsRenamed({"cluster": "a", "size": "na"}), "a").join(size.withColumnsRenamed({"cluster": "b", "size": "nb"}), "b")
+        size = where.groupBy("cluster").agg(F.count("*").alias("n"))
+        sized = e.join(size.withColumnsRenamed({"cluster": "a", "n": "na"}), "a").join(size.withColumnsRenamed({"cluster": "b", "n": "nb"}), "b")
         sized = sized.withColumn("sim", F.round(F.col("s") / (F.col("na") * F.col("nb")), 12)).filter(F.col("sim") >= threshold)
-        order = F.struct(F.col("sim"), -F.col("a"), -F.col("b"))
+        # equal similarities are common; ordered by a hash of the pair they fall into many mutual pairs at once
+        order = F.struct(F.col("sim").alias("sim"), F.xxhash64("a", "b").alias("h"), (-F.col("a")).alias("x"), (-F.col("b")).alias("y"))
         best = sized.select(F.explode(F.array("a", "b")).alias("c"), order.alias("o")).groupBy("c").agg(F.max("o").alias("o"))
-        pair = best.groupBy((-F.col("o.col2")).alias("a"), (-F.col("o.col3")).alias("b")).agg(F.count("*").alias("named")).filter("named = 2").select("a", "b")
+        pair = best.groupBy((-F.col("o.x")).alias("a"), (-F.col("o.y")).alias("b")).agg(F.count("*").alias("named")).filter("named = 2").select("a", "b")
         pair = written(pair, f"rnn-merge{k}")
-        if pair.isEmpty():
+        merged = pair.count()
+        if not merged:
             break
-        to = pair.select(F.col("b").alias("old"), F.col("a").alias("new"))
+        to = maybe_broadcast(pair.select(F.col("b").alias("old"), F.col("a").alias("new")), merged)
 
         def moved(df: DataFrame, column: str, to: DataFrame = to) -> DataFrame:
             return df.join(to.withColumnsRenamed({"old": column, "new": "new_"}), column, "left").withColumn(column, F.coalesce("new_", column)).drop("new_")
 
-        e2 = moved(moved(e, "a"), "b").filter("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("s").alias("s"))
-        e = written(e2, f"rnn-edges{k + 1}")
-        size = written(moved(size, "cluster").groupBy("cluster").agg(F.sum("size").alias("size")), f"rnn-size{k + 1}")
-        where = written(moved(where.select("id", "cluster"), "cluster"), f"rnn-nodes{k + 1}")
-    return where.select("id", "cluster")
+        e = written(moved(moved(e, "a"), "b").filter("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("s").alias("s")), f"rnn-edges{k + 1}")
+        where = written(moved(where, "cluster").select("id", "cluster"), f"rnn-nodes{k + 1}")
+    return where
