@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from feedloom.plans import core_problems
+from feedloom.plans import core_problems, feedback
 
-QUERIES = {**core_problems.QUERIES}
-SQL = {**core_problems.SQL}
+QUERIES = {**core_problems.QUERIES, **feedback.QUERIES}
+SQL = {**core_problems.SQL, **feedback.SQL}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return core_problems.p1_daily(spark, sf_dir)
+    return feedback.rank_clusters(spark, sf_dir)
