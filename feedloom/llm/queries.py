@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedloom.llm import issues_by_text, leaks, mixing, neardup, pii, spam
-from feedloom.runtime import table
+from feedloom.runtime import maybe_broadcast, table
 
 
 def _texts(spark: SparkSession, sf: str) -> DataFrame:
@@ -17,7 +17,17 @@ def _texts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _records(spark: SparkSession, sf: str) -> DataFrame:
-    return _texts(spark, sf).groupBy("src", "rec_id").agg(F.min("text").alias("text"))
+    """(src, rec_id, text), one row per record: the first delivery of a submission, any of a ticket's exports.
+
+    Only ids and sequence numbers are grouped; the texts of the submissions are not shuffled.
+    """
+    s = table(spark, sf, "submissions").filter("id IS NOT NULL")
+    keys = s.select("id", "ingest_seq")
+    again = keys.groupBy("id").agg(F.min("ingest_seq").alias("first"), F.count("*").alias("n")).filter("n > 1").select("id", "first")
+    extra = keys.join(maybe_broadcast(again), "id").filter("ingest_seq <> first").select("ingest_seq")
+    once = s.join(maybe_broadcast(extra), "ingest_seq", "left_anti").select(F.lit("submissions").alias("src"), F.col("id").alias("rec_id"), F.col("body").alias("text"))
+    i = table(spark, sf, "inbox").filter("ticket_id IS NOT NULL").groupBy(F.col("ticket_id").alias("rec_id")).agg(F.min("description").alias("text"))
+    return once.unionByName(i.select(F.lit("inbox").alias("src"), "rec_id", "text"))
 
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
