@@ -8,7 +8,9 @@ of links never speak for text; lines with a clock time are log lines, which alwa
 or tag passage if at most half of the pairs around it (six words to either side) speak for text; a page of which more
 than half of the words do is flagged.
 
-Counts are exact sums with map-side combine; nothing is collected to the driver. Defined results: null texts and texts
+Words are counted by 32-bit hashes, pairs by the two hashes of their words, as sums with map-side combine. The pairs that
+speak for text go to the workers if a count proves them few (SEND), and are joined otherwise; both ways score alike.
+Defined results: null texts and texts
 of fewer than two words are never flagged; empty tables give no rows; repeated documents each count as a document.
 """
 
@@ -56,86 +58,94 @@ def tokens(text: str) -> tuple[list[str], list[int]]:
     return words, kinds
 
 
-#: Rows a worker gathers before it hands them on.
-FLUSH = 40_000
+_SCHEMA = "doc_id bigint, n int, logs array<int>, pairs array<bigint>, u array<bigint>, c array<int>"
+#: Pairs that speak for text are sent to the workers if a count proves them this few; beyond it they are joined.
+SEND = 2_000_000
 
 
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (doc_id, a, b, n, at): a pair of neighbours and where it stands; b null: a word and its count; a null: n words, log pairs at."""
-    rows: tuple[list, ...] = ([], [], [], [], [])
+def _pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per page: words, log pairs, the pair of words at each place (0: none of text), distinct pairs and their counts."""
+    import xxhash
 
-    def put(*values) -> None:
-        for column, v in zip(rows, values):
-            column.append(v)
+    known: dict[str, int] = {}
 
-    def flush() -> pa.RecordBatch:
-        kinds = (pa.int64(), pa.string(), pa.string(), pa.int32(), pa.list_(pa.int32()))
-        out = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds)], names=["doc_id", "a", "b", "n", "at"])
-        for c in rows:
-            c.clear()
-        return out
+    def code(w: str) -> int:
+        h = known.get(w)
+        if h is None:
+            if len(known) > 500_000:
+                known.clear()
+            h = known[w] = xxhash.xxh32_intdigest(w)
+        return h
 
+    kinds_of = (pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()))
     for batch in batches:
-        for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-            words, kinds = tokens(text.as_py()) if text.is_valid else ([], [])
-            if len(words) < 2:
-                continue
-            where: dict[tuple[str, str], list[int]] = {}
-            count: dict[str, int] = {}
-            for i in range(len(words) - 1):
-                if kinds[i] == TEXT and kinds[i + 1] == TEXT:
-                    where.setdefault((words[i], words[i + 1]), []).append(i)
-            for w, k in zip(words, kinds):
-                if k == TEXT:
-                    count[w] = count.get(w, 0) + 1
-            put(doc, None, None, len(words), [i for i in range(len(words) - 1) if kinds[i] == LOG and kinds[i + 1] == LOG])
-            for (a, b), at in where.items():
-                put(doc, a, b, len(at), at)
-            for w, n in count.items():
-                put(doc, w, None, n, None)
-            if len(rows[0]) >= FLUSH:
-                yield flush()
-    if rows[0]:
-        yield flush()
-
-
-def _share(n: pd.Series, logs: pd.Series, good: pd.Series) -> pd.Series:
+        ids, texts = batch.column("doc_id").to_pylist(), batch.column("text")
+        for lo in range(0, len(ids), 500):
+            rows: tuple[list, ...] = ([], [], [], [], [], [])
+            for doc, text in zip(ids[lo:lo + 500], texts[lo:lo + 500]):
+                words, kinds = tokens(text.as_py()) if text.is_valid else ([], [])
+                if len(words) < 2:
+                    continue
+                h = np.fromiter(map(code, words), np.uint64, len(words))
+                kind = np.array(kinds, np.int8)
+                plain = (kind[:-1] == TEXT) & (kind[1:] == TEXT)
+                pairs = np.where(plain, (h[:-1] << np.uint64(32)) | h[1:], np.uint64(0)).view(np.int64)
+                u, c = np.unique(pairs[plain], return_counts=True)
+                logs = np.flatnonzero((kind[:-1] == LOG) & (kind[1:] == LOG)).astype(np.int32)
+                for column, v in zip(rows, (doc, len(words), logs, pairs, u, c.astype(np.int32))):
+                    column.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds_of)], names=["doc_id", "n", "logs", "pairs", "u", "c"])
+
+
+def _share(size: int, log: np.ndarray, speaks: np.ndarray) -> float:
     """Share of a page's words standing in passages that do not speak for text."""
-    out = np.zeros(len(n))
-    for i, (size, log, pos) in enumerate(zip(n, logs, good)):
-        speaks = np.zeros(size - 1)
-        for part in (log, pos):
-            if part is not None and len(part):
-                speaks[np.asarray(part, dtype=np.int64)] = 1
-        total = np.concatenate([[0.0], np.cumsum(speaks)])
-        at = np.arange(size)
-        lo, hi = np.maximum(at - REACH, 0), np.minimum(at + REACH, size - 1)
-        out[i] = np.mean((total[hi] - total[lo]) / (hi - lo) <= 0.5)
-    return pd.Series(out)
-
-
-def page_scores(docs: DataFrame) -> DataFrame:
+    flags = speaks.astype(np.float64)
+    flags[log] = 1
+    total = np.concatenate([[0.0], np.cumsum(flags)])
+    at = np.arange(size)
+    lo, hi = np.maximum(at - REACH, 0), np.minimum(at + REACH, size - 1)
+    return float(np.mean((total[hi] - total[lo]) / (hi - lo) <= 0.5))
+
+
+def _scores(good):
+    """Scores of pages; good: a broadcast of sorted pair codes, or None where each row brings its own."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            own = pdf["good"] if good is None else [good.value] * len(pdf)
+            for n, logs, pairs, g in zip(pdf["n"], pdf["logs"], pdf["pairs"], own):
+                g = np.zeros(0, np.int64) if g is None else np.sort(np.asarray(g, np.int64)) if good is None else g
+                at = np.minimum(np.searchsorted(g, pairs), max(len(g) - 1, 0))
+                speaks = (g[at] == pairs) if len(g) else np.zeros(len(pairs), bool)
+                out.append(_share(n, np.asarray(logs, np.int64), speaks))
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_words": pdf["n"], "share": pd.Series(out, dtype="float64")})
+
+    return run
+
+
+def speaking_pairs(pages: DataFrame) -> DataFrame:
+    """(u): pairs that speak for running text, by counts over the whole corpus."""
+    stats = pages.select(F.explode(F.arrays_zip("u", "c")).alias("x")).groupBy(F.col("x.u").alias("u")).agg(F.count("*").alias("docs"), F.sum("x.c").alias("times"))
+    stats = written(stats, "spam-pairs")
+    first, second = F.call_function("shiftrightunsigned", F.col("u"), F.lit(32)), F.col("u").bitwiseAND(F.lit(0xFFFFFFFF))
+    left = written(stats.groupBy(first.alias("a")).agg(F.sum("times").alias("na")), "spam-first")
+    right = written(stats.groupBy(second.alias("b")).agg(F.sum("times").alias("nb")), "spam-second")
+    total = left.agg(F.coalesce(F.sum("na"), F.lit(0)).cast("double").alias("total"))
+    kept = stats.filter((F.col("docs") >= MIN_DOCS) & (F.col("times") < BURST * F.col("docs"))).withColumn("a", first).withColumn("b", second)
+    pmi = F.ln(F.col("docs") * F.col("total") / (F.col("na") * F.col("nb")))
+    return kept.join(maybe_broadcast(left), "a").join(maybe_broadcast(right), "b").crossJoin(F.broadcast(total)).filter(pmi >= MIN_PMI).select("u")  # total: one row
+
+
+def page_scores(docs: DataFrame, send: int = SEND) -> DataFrame:
     """(doc_id, n_words, share): share of words in keyword, link and tag passages, for pages of two words or more."""
-    rows = written(docs.select("doc_id", "text").mapInArrow(_pairs, "doc_id bigint, a string, b string, n int, at array<int>"), "spam-pairs")
-    words = rows.filter("a IS NOT NULL AND b IS NULL").groupBy("a").agg(F.sum("n").alias("count"))
-    words = written(words, "spam-words")
-    total = words.agg(F.sum("count").cast("double").alias("total"))
-    vocabulary = maybe_broadcast(words)
-    pairs = rows.filter("b IS NOT NULL").groupBy("a", "b").agg(F.count("*").alias("docs"), F.sum("n").alias("times"))
-    pairs = pairs.filter((F.col("docs") >= MIN_DOCS) & (F.col("times") < BURST * F.col("docs")))
-    pmi = F.ln(F.col("docs") * F.col("total") / (F.col("count_a") * F.col("count_b")))
-    good = (
-        pairs.join(vocabulary.select("a", F.col("count").alias("count_a")), "a")
-        .join(vocabulary.select(F.col("a").alias("b"), F.col("count").alias("count_b")), "b")
-        .crossJoin(F.broadcast(total))  # one row
-        .filter(pmi >= MIN_PMI).select("a", "b")
-    )
-    speaking = rows.filter("b IS NOT NULL").join(good, ["a", "b"]).groupBy("doc_id").agg(F.flatten(F.collect_list("at")).alias("good"))
-    share = F.pandas_udf(_share, "double")
-    return (
-        rows.filter("a IS NULL").select("doc_id", F.col("n").alias("n_words"), F.col("at").alias("logs"))
-        .join(speaking, "doc_id", "left").select("doc_id", "n_words", share("n_words", "logs", "good").alias("share"))
-    )
+    pages = written(docs.select("doc_id", "text").mapInArrow(_pages, _SCHEMA), "spam-pages")
+    good = written(speaking_pairs(pages), "spam-good")
+    out = "doc_id bigint, n_words int, share double"
+    if good.count() <= send:
+        codes = docs.sparkSession.sparkContext.broadcast(np.sort(good.toPandas()["u"].to_numpy(np.int64)))
+        return pages.select("doc_id", "n", "logs", "pairs").mapInPandas(_scores(codes), out)
+    own = pages.select("doc_id", F.explode("u").alias("u")).join(good, "u").groupBy("doc_id").agg(F.collect_list("u").alias("good"))
+    return pages.select("doc_id", "n", "logs", "pairs").join(own, "doc_id", "left").mapInPandas(_scores(None), out)
 
 
 def spam_pages(docs: DataFrame) -> DataFrame:

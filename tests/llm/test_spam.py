@@ -16,6 +16,8 @@ def test_keyword_and_link_pages_are_told_from_text(spark):
     got = {r.doc_id for r in spam.spam_pages(df).collect()}
     n = len(good)
     assert got == set(range(n, n + len(stuffed) + len(links)))
+    a, b = (sorted(map(tuple, spam.page_scores(df, send).collect())) for send in (spam.SEND, 0))
+    assert a == b and len(a) == len(texts) - 3
 
 
 def test_empty(spark):
