@@ -11,7 +11,7 @@ from feedloom.functions.text import scrub_variable_data
 
 def frames(stack: Column) -> Column:
     """array<struct<fn, file>> of a V8 stack: positions, folders and queries cut off; runtime and pathless frames left out."""
-    lines = F.filter(F.transform(F.split(F.coalesce(stack, F.lit("")), "\n"), F.trim), lambda s: s.startswith("at "))
+    lines = F.filter(F.transform(F.split(F.coalesce(stack, F.lit("")), "\n"), lambda x: F.trim(x)), lambda s: s.startswith("at "))
     bodies = F.transform(lines, lambda s: F.trim(F.substring(s, F.lit(4), F.length(s))))
     shape = r"^(.*?)\s+\((.*)\)$"
 

@@ -183,8 +183,8 @@ def exact_match_groups(spark, sf):
     return facts(spark, sf).groupBy("project_id", label.alias("label")).agg(F.count("*").alias("n")).filter("n > 1")
 
 
-@query(f"""WITH w AS (SELECT item_id, list_filter(string_split({_NORM.format('text')}, ' '), x -> len(x) >= 3 AND x NOT IN ({_STOPS})) AS w FROM eval_items)
-  SELECT item_id, coalesce(list_reduce(list_prepend('', w), (a, b) -> CASE WHEN len(b) > len(a) THEN b ELSE a END), '') AS word FROM w""")
+@query(f"""WITH w AS (SELECT item_id, list_filter(string_split({_NORM.format('text')}, ' '), lambda x: len(x) >= 3 AND x NOT IN ({_STOPS})) AS w FROM eval_items)
+  SELECT item_id, coalesce(list_reduce(list_prepend('', w), lambda a, b: CASE WHEN len(b) > len(a) THEN b ELSE a END), '') AS word FROM w""")
 def top_content_word(spark, sf):
     return table(spark, sf, "eval_items").select("item_id", text.top_content_word(F.col("text")).alias("word"))
 
@@ -205,7 +205,7 @@ def _stem_sql(w: str) -> str:
 
 
 def _tokens_sql(source: str, key: str, column: str) -> str:
-    return f"""tok AS (SELECT {key} AS doc_id, list_transform(list_filter(string_split({_NORM.format(column)}, ' '), x -> len(x) >= 3 AND x NOT IN ({_STOPS})), w -> {_stem_sql('w')}) AS ts FROM {source}),
+    return f"""tok AS (SELECT {key} AS doc_id, list_transform(list_filter(string_split({_NORM.format(column)}, ' '), lambda x: len(x) >= 3 AND x NOT IN ({_STOPS})), lambda w: {_stem_sql('w')}) AS ts FROM {source}),
   tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(ts) AS term FROM tok) GROUP BY 1, 2)"""
 
 
@@ -303,7 +303,7 @@ def capped_bodies(spark, sf):
 
 # --- hashes and blocking ---
 
-_FNV = "list_reduce(list_prepend(2166136261::UBIGINT, list_transform(string_split({0}, ''), c -> unicode(c)::UBIGINT)), (h, c) -> ((xor(h, c) * 16777619::UBIGINT) & 4294967295::UBIGINT))::BIGINT"
+_FNV = "list_reduce(list_prepend(2166136261::UBIGINT, list_transform(string_split({0}, ''), lambda c: unicode(c)::UBIGINT)), lambda h, c: ((xor(h, c) * 16777619::UBIGINT) & 4294967295::UBIGINT))::BIGINT"
 
 
 @query(f"SELECT ticket_id, {_FNV.format(_NORM.format('description'))} AS h FROM (SELECT DISTINCT ticket_id, description FROM inbox WHERE len({_NORM.format('description')}) > 0)")
@@ -327,8 +327,10 @@ def lsh_bands(spark, sf):
 
 
 @query()
-def lsh_candidates(spark, sf):
-    return lsh.candidates(written(_fingerprints(spark, sf), "fp")).select("a", "b")
+def hamming_pairs(spark, sf):
+    """Candidates of the bands at most six bits apart."""
+    c = lsh.candidates(written(_fingerprints(spark, sf), "fp"))
+    return c.withColumn("distance", hashing.hamming(F.col("fa"), F.col("fb"))).filter("distance <= 6").select("a", "b", "distance")
 
 
 @query()
@@ -478,7 +480,7 @@ def import_inbox(spark, sf):
 # --- agreement of labels: truth = route, prediction = kind ---
 
 _PAIRS = _FACTS + ", pairs AS (SELECT coalesce(route, '') AS truth, kind AS predicted FROM facts), t AS (SELECT truth, predicted, count(*) AS n FROM pairs GROUP BY 1, 2)"
-_AGG = _PAIRS + """, a AS (SELECT (SELECT sum(n) FROM t)::DOUBLE AS n, (SELECT sum(n * (n - 1) / 2) FROM t) AS both, (SELECT sum(s * (s - 1) / 2) FROM (SELECT sum(n) AS s FROM t GROUP BY truth)) AS tp,
+_AGG = _PAIRS + """, a AS (SELECT (SELECT sum(n) FROM t)::DOUBLE AS n, (SELECT sum(n * (n - 1) / 2) FROM t) AS tpp, (SELECT sum(s * (s - 1) / 2) FROM (SELECT sum(n) AS s FROM t GROUP BY truth)) AS tp,
   (SELECT sum(s * (s - 1) / 2) FROM (SELECT sum(n) AS s FROM t GROUP BY predicted)) AS pp)"""
 
 
@@ -491,12 +493,12 @@ def contingency(spark, sf):
     return metrics.contingency(_pairs(spark, sf))
 
 
-@query(f"WITH {_AGG} SELECT round((both - tp * pp / (n * (n - 1) / 2)) / ((tp + pp) / 2 - tp * pp / (n * (n - 1) / 2)), 6) AS ari FROM a")
+@query(f"WITH {_AGG} SELECT round((tpp - tp * pp / (n * (n - 1) / 2)) / ((tp + pp) / 2 - tp * pp / (n * (n - 1) / 2)), 6) AS ari FROM a")
 def adjusted_rand(spark, sf):
     return metrics.adjusted_rand(metrics.contingency(_pairs(spark, sf))).select(r6("ari").alias("ari"))
 
 
-@query(f"WITH {_AGG} SELECT round(both / pp, 6) AS precision, round(both / tp, 6) AS recall, round(2 * (both / pp) * (both / tp) / (both / pp + both / tp), 6) AS f1 FROM a")
+@query(f"WITH {_AGG} SELECT round(tpp / pp, 6) AS precision, round(tpp / tp, 6) AS recall, round(2 * (tpp / pp) * (tpp / tp) / (tpp / pp + tpp / tp), 6) AS f1 FROM a")
 def pairwise_prf(spark, sf):
     return metrics.pairwise(metrics.contingency(_pairs(spark, sf))).select(*[r6(c).alias(c) for c in ("precision", "recall", "f1")])
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedloom.functions import scalars
-from feedloom.operators.rejects import ALIASES
+from feedloom.operators.rejects import ALIASES, split_record
 from feedloom.schema import KINDS
 
 
@@ -18,7 +18,9 @@ def read_records(spark: SparkSession, path: str, delimiter: str = ",") -> DataFr
         spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').option("sep", delimiter)
         .option("mode", "FAILFAST").option("enforceSchema", False).option("encoding", "UTF-8").csv(path)
     )
-    names = [c.lstrip("﻿").strip().lower() for c in df.columns]
+    first = spark.read.text(path).head(1)  # Spark renames repeated columns, so the header is read as it is written
+    header = (split_record(first[0].value.lstrip("﻿"), delimiter) if first else None) or df.columns
+    names = [c.lstrip("﻿").strip().lower() for c in header]
     if len(set(names)) != len(names):
         raise ValueError(f"duplicate column in header: {sorted({n for n in names if names.count(n) > 1})}")
     return df.toDF(*names)

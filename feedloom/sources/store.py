@@ -24,7 +24,8 @@ def required(df: DataFrame) -> DataFrame:
 
 def read_jsonl(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(submissions, corrupt lines): lines that do not parse or lack a required field are set aside; ids count once."""
-    raw = spark.read.schema(schema.SUBMISSION + ", _corrupt string").option("columnNameOfCorruptRecord", "_corrupt").option("mode", "PERMISSIVE").json(path)
+    how = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
+    raw = spark.read.text(path).filter("trim(value) <> ''").select(F.from_json("value", schema.SUBMISSION + ", _corrupt string", how).alias("r")).select("r.*")
     good = first_writes(required(raw.filter("_corrupt IS NULL").drop("_corrupt")))
     return good, raw.filter("_corrupt IS NOT NULL").select("_corrupt")
 
