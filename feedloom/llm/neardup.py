@@ -14,8 +14,8 @@ cell's texts are joined over the range of sizes and positions that d allows (sho
 Surviving pairs are verified on the whole word sets.
 
 Copies are collapsed first: texts with the same word set form a class with one representative. Cells with more than
-BLOCK texts are split into blocks and block pairs that run on different tasks, so a cell that holds a third of all rows
-is never one task's work, and no row, cell or partner is capped. Rarity is read from a table of SLOTS counters, of fixed
+BLOCK texts are split into blocks that run on different tasks, so a cell that holds a third of all rows is never one
+task's work, and no row, cell or partner is capped. Rarity is read from a table of SLOTS counters, of fixed
 size at any scale; any order gives the same result.
 
 Defined results: null texts and texts of fewer than min_words distinct words have no partners; repeated deliveries of
@@ -35,7 +35,8 @@ from feedloom.operators.components import components
 from feedloom.runtime import maybe_broadcast, written
 
 SLOTS = 1 << 18
-BLOCK = 4096
+BLOCK = 8192
+LONGER, SHORTER, BOTH = 0, 1, 2
 #: Classes of up to this many copies are expanded into all pairs; larger ones are paired with their representative.
 EXPAND = 64
 NUM, DEN = 4, 5  # the threshold 4/5 as whole numbers: no rounding at the border
@@ -90,8 +91,9 @@ def _cell_counter(rarity):
 
 
 def _cells(rarity, blocks):
-    """Rows of the grid: a text in each of its cells, in the block pairs of a large cell it belongs to."""
-    names = ["cell", "pair", "side", "key", "n", "pos", "parity", "u0", "u1"]
+    """Rows of the grid: a text in each of its cells. In a cell of several blocks it is the longer text of its pairs in one
+    block only; texts that may be the shorter one, which a frequent word's cell has few of, stand in all blocks."""
+    names = ["cell", "block", "side", "key", "n", "pos", "parity", "u0", "u1"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -102,30 +104,32 @@ def _cells(rarity, blocks):
             key = batch.column(batch.schema.get_field_index("key")).to_numpy(zero_copy_only=False)
             nb = blocks.value[word & (SLOTS - 1)].astype(np.int64)
             own = ((key[r] >> 7) & 0x7FFFFFFF) % nb
-            reps = np.repeat(np.arange(len(r)), nb)
-            first = np.concatenate([[0], np.cumsum(nb)[:-1]])
-            other = np.arange(len(reps)) - np.repeat(first, nb)
-            lo, hi = np.minimum(own[reps], other), np.maximum(own[reps], other)
+            front = 9 * pos <= lengths[r]
+            times = np.where(front, nb, 1)
+            reps = np.repeat(np.arange(len(r)), times)
+            first = np.concatenate([[0], np.cumsum(times)[:-1]])
+            block = np.where(front[reps], np.arange(len(reps)) - np.repeat(first, times), own[reps])
+            side = np.where(block == own[reps], np.where(front[reps], BOTH, LONGER), SHORTER).astype(np.int8)
             r2 = r[reps]
-            cols = [word[reps], (lo << 32) | hi, (own[reps] != lo).astype(np.int8), key[r2], lengths[r2].astype(np.int32), pos[reps].astype(np.int32), parity[r2].view(np.int64), u0[r2].view(np.int64), u1[r2].view(np.int64)]
+            cols = [word[reps], block, side, key[r2], lengths[r2].astype(np.int32), pos[reps].astype(np.int32), parity[r2].view(np.int64), u0[r2].view(np.int64), u1[r2].view(np.int64)]
             for k in range(0, len(reps), 50_000):
                 yield pa.RecordBatch.from_arrays([pa.array(c[k:k + 50_000]) for c in cols], names=names)
 
     return run
 
 
-CELL = "cell long, pair long, side byte, key long, n int, pos int, parity long, u0 long, u1 long"
+CELL = "cell long, block long, side byte, key long, n int, pos int, parity long, u0 long, u1 long"
 
 
 def compare(c: dict[str, np.ndarray], rows: int = 512) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the pairs in one cell (or block pair) that the bounds allow. c is sorted by n."""
+    """Keys of the pairs in one cell (or block of it) that the bounds allow. c is sorted by n."""
     n, pos, key, parity = c["n"].astype(np.int64), c["pos"].astype(np.int64), c["key"], c["parity"].view(np.uint64)
-    across = bool((c["pair"][0] >> 32) != (c["pair"][0] & 0xFFFFFFFF))
-    front = np.flatnonzero(9 * pos <= n)  # only these may be the shorter text of a pair
+    front = np.flatnonzero((9 * pos <= n) & (c["side"] != LONGER))  # only these may be the shorter text of a pair
+    longer = c["side"] != SHORTER
     fn, fp = n[front], parity[front]
     reach = (5 * n - 9 * pos) // 4  # the largest partner that still shares enough words after this position
     out_a, out_b = [], []
-    for some in (np.flatnonzero(reach >= n), np.flatnonzero(reach < n)):
+    for some in (np.flatnonzero(longer & (reach >= n)), np.flatnonzero(longer & (reach < n))):
         some = some[np.argsort(np.minimum(reach[some], n[some]), kind="stable")]
         for k in range(0, len(some), rows):
             x = some[k:k + rows]
@@ -140,8 +144,6 @@ def compare(c: dict[str, np.ndarray], rows: int = 512) -> tuple[np.ndarray, np.n
                 a, b = x[a], front[y][b]
                 d = (n[a] + n[b]) // 9
                 ok = (key[a] != key[b]) & ((n[b] < n[a]) | ((n[b] == n[a]) & (key[b] < key[a]))) & (NUM * n[a] <= DEN * n[b]) & (n[b] <= reach[a]) & (n[a] <= reach[b])
-                if across:
-                    ok &= c["side"][a] != c["side"][b]
                 ok &= np.bitwise_count(parity[a] ^ parity[b]) <= d
                 a, b, d = a[ok], b[ok], d[ok]
                 u = sum(np.bitwise_count(c[w].view(np.uint64)[a] ^ c[w].view(np.uint64)[b]).astype(np.int64) for w in ("u0", "u1"))
@@ -154,7 +156,7 @@ def compare(c: dict[str, np.ndarray], rows: int = 512) -> tuple[np.ndarray, np.n
 
 
 def _join_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches arrive sorted by cell, pair and n; only one cell's block pair is held at a time."""
+    """Batches arrive sorted by cell, block and n; only one block is held at a time."""
     open_parts: list[dict[str, np.ndarray]] = []
     seen: set[tuple[int, int]] = set()
 
@@ -178,10 +180,10 @@ def _join_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not batch.num_rows:
             continue
         c = {f: batch.column(i).to_numpy(zero_copy_only=False) for i, f in enumerate(batch.schema.names)}
-        change = np.flatnonzero((np.diff(c["cell"]) != 0) | (np.diff(c["pair"]) != 0)) + 1
+        change = np.flatnonzero((np.diff(c["cell"]) != 0) | (np.diff(c["block"]) != 0)) + 1
         bounds = [0, *change.tolist(), batch.num_rows]
         for s, e in zip(bounds, bounds[1:]):
-            ident = (c["cell"][s], c["pair"][s])
+            ident = (c["cell"][s], c["block"][s])
             if ident != last:
                 done = close()
                 if done is not None:
@@ -220,7 +222,7 @@ def similar_classes(records: DataFrame, min_words: int = 20) -> tuple[DataFrame,
     full = _bounded_table(slim.mapInArrow(_cell_counter(rarity), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")))
     blocks = sc.broadcast(np.maximum(-(-full // BLOCK), 1).astype(np.int32))
     cells = slim.mapInArrow(_cells(rarity, blocks), CELL)
-    cells = cells.repartition("cell", "pair").sortWithinPartitions("cell", "pair", "n")
+    cells = cells.repartition("cell", "block").sortWithinPartitions("cell", "block", "n")
     maybe = written(cells.mapInArrow(_join_cells, "ka long, kb long").distinct(), "nd-maybe")
 
     needed = maybe.select(F.col("ka").alias("key")).unionByName(maybe.select(F.col("kb").alias("key"))).distinct()

@@ -42,7 +42,7 @@ def tokens(text: str) -> tuple[list[str], list[int]]:
 
     def add(part: str, kind: int) -> None:
         for w in _WORD.findall(part):
-            words.append("#" if any(c.isdigit() for c in w) else w)
+            words.append(w if w.isalpha() else "#")
             kinds.append(kind)
 
     for line in text.lower().split("\n"):

@@ -5,14 +5,17 @@ from feedloom.llm import spam
 
 def test_keyword_and_link_pages_are_told_from_text(spark):
     rng = random.Random(6)
-    who, does, what = ["the planner", "a driver", "our team", "the welder"], ["opens the card of", "writes down the number of", "asks about"], ["the winch", "the depot", "a new pump", "the old crane"]
-    page = lambda n: " ".join(f"{rng.choice(who)} {rng.choice(does)} {rng.choice(what)} every morning." for _ in range(n))
-    good = [page(12) for _ in range(150)] + [page(12) + "\nTags: cheap crane, crane rental" for _ in range(10)] + [page(12) + "\nhttps://a.example/x/y" for _ in range(10)]
+    roots = ["plan", "driv", "weld", "till", "roof", "paint", "buy", "guid", "clean", "build"]
+    who = [f"the {r}er" for r in roots] + [f"our {r}ing team" for r in roots]
+    does = [f"{v} {p} the" for v in ("opens", "moves", "checks", "writes", "closes", "counts") for p in ("down", "up", "back")]
+    what = [f"{a} {n}" for a in ("old", "new", "red", "tall") for n in ("winch", "depot", "pump", "crane", "gate", "hoist")]
+    page = lambda n: " ".join(f"{rng.choice(who)} {rng.choice(does)} {rng.choice(what)}." for _ in range(n // 2))
+    good = [page(12) for _ in range(400)] + [page(12) + "\nTags: cheap crane, crane rental" for _ in range(10)] + [page(12) + "\nhttps://a.example/x/y" for _ in range(10)]
     stuffed = [" ".join(rng.choices(["cheap", "crane", "rental", "deal", "online", "best"], k=80)) for _ in range(8)]
     links = ["\n".join(f"{k}. https://h{k}.example/p{rng.randrange(999)}/q" for k in range(30)) for _ in range(4)]
     logs = [page(4) + "\n" + "\n".join(f"2026-01-01T10:{k:02d}:11 WARN esk code={k} retry" for k in range(20)) for _ in range(4)]
     texts = good + stuffed + links + logs + [None, "", "one"]
-    df = spark.createDataFrame([(k, t, "x") for k, t in enumerate(texts)], "doc_id long, text string, n string").select("doc_id", "text")
+    df = spark.createDataFrame([(k, t, "x") for k, t in enumerate(texts)], "doc_id long, text string, n string")
     got = {r.doc_id for r in spam.spam_pages(df).collect()}
     n = len(good)
     assert got == set(range(n, n + len(stuffed) + len(links)))
