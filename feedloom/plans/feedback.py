@@ -262,11 +262,11 @@ def tfidf_vectors(spark, sf):
 
 
 @query(f"""WITH {_TFIDF}, q AS (SELECT doc_id AS query_id, term, w AS qw FROM vec WHERE doc_id % 20 = 0), c AS (SELECT query_id, doc_id, sum(w * qw) AS cosine FROM vec JOIN q USING (term) GROUP BY 1, 2)
-  SELECT query_id, doc_id, round(cosine, 5) AS cosine FROM c WHERE cosine >= 0.300004 AND query_id <> doc_id""")
+  SELECT query_id, doc_id, round(cosine, 5) AS cosine FROM c WHERE cosine >= 0.3 AND query_id <> doc_id""")
 def sparse_cosine_search(spark, sf):
     """Every row whose id is divisible by 20 as a query against all rows: matches from a cosine of 0.3 on."""
     v = written(_vectors(spark, sf), "tfidf")
-    c = vectors.query_cosines(v, v.filter(F.col("doc_id") % 20 == 0)).filter((F.col("cosine") >= 0.300004) & (F.col("query_id") != F.col("doc_id")))
+    c = vectors.query_cosines(v, v.filter(F.col("doc_id") % 20 == 0)).filter((F.col("cosine") >= 0.3) & (F.col("query_id") != F.col("doc_id")))
     return c.select("query_id", "doc_id", F.round("cosine", 5).alias("cosine"))
 
 
