@@ -328,9 +328,9 @@ def lsh_bands(spark, sf):
 
 @query()
 def hamming_pairs(spark, sf):
-    """Candidates of the bands at most six bits apart."""
-    c = lsh.candidates(written(_fingerprints(spark, sf), "fp"))
-    return c.withColumn("distance", hashing.hamming(F.col("fa"), F.col("fb"))).filter("distance <= 6").select("a", "b", "distance")
+    """All pairs of distinct fingerprints at most six bits apart."""
+    c = lsh.candidates(written(_fingerprints(spark, sf), "fp"), max_distance=6)
+    return c.select("a", "b", hashing.hamming(F.col("fa"), F.col("fb")).alias("distance"))
 
 
 @query()

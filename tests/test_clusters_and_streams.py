@@ -143,6 +143,28 @@ def test_lsh_groups(spark):
     assert g["a"] == g["b"] == g["d"] and "c" not in g and g.get("e", g["a"]) == g["a"]
 
 
+def test_lsh_compares_all_pairs_of_a_large_bucket(spark, monkeypatch):
+    rng = random.Random(4)
+    fps = [rng.getrandbits(52) << 8 | 7 for _ in range(300)]  # one bucket in bands 0 and 7
+    for f in fps[:]:
+        for bit in rng.sample(range(64), rng.randrange(1, 9)):
+            f ^= 1 << bit
+        fps.append(f)
+    fps = [f - (1 << 64) if f >> 63 else f for f in dict.fromkeys(fps)]
+    df = spark.createDataFrame(list(enumerate(fps)), "doc_id long, fp long")
+    apart = {(a, b): ((fps[a] ^ fps[b]) & (1 << 64) - 1) for b in range(len(fps)) for a in range(b)}
+    near = {p for p, x in apart.items() if x.bit_count() <= 6}
+    band = {p for p, x in apart.items() if any(not x >> 8 * k & 255 for k in range(8))}
+    for block in (lsh.BLOCK, 50):
+        monkeypatch.setattr(lsh, "BLOCK", block)
+        got = [(r.a, r.b) for r in lsh.candidates(df, max_distance=6).collect()]
+        assert len(got) == len(set(got)) and set(got) == near and len(near) > 150
+        got = [(r.a, r.b) for r in lsh.candidates(df).collect()]
+        assert len(got) == len(set(got)) and set(got) == band
+    assert {r.doc_id for r in lsh.near_duplicate_groups(df).collect()} == {i for p in near for i in p}
+    assert lsh.near_duplicate_groups(df, max_bucket=1).count() == 0
+
+
 def test_dense(spark):
     df = spark.createDataFrame([([1.0, 0.0], [2.0, 0.0]), ([0.0, 0.0], [1.0, 1.0]), ([1.0], [1.0, 5.0])], "a array<double>, b array<double>")
     got = [r.c for r in df.select(vectors.dense_cosine(F.col("a"), F.col("b")).alias("c")).collect()]
