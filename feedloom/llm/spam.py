@@ -1,7 +1,8 @@
 """Keyword-stuffed and link-list pages, by the pointwise mutual information of neighbouring words.
 
 Neighbouring words are counted over the whole corpus: in how many documents a pair occurs, how often in all, and how
-often its words do. A pair speaks for running text if at least MIN_DOCS documents have it, if it is no excessively
+often its words do. Copies (the same words in the same order, numbers aside) count as one document here, so that a list
+crawled several times cannot vouch for itself; each copy still gets its score. A pair speaks for running text if at least MIN_DOCS documents have it, if it is no excessively
 repeated collocation (fewer than BURST occurrences per document having it) and if its pointwise mutual information,
 with documents as the pair's count so that repetition inside a page cannot vouch for itself, is at least MIN_PMI. Words
 of links never speak for text; lines with a clock time are log lines, which always do. A word stands in a keyword, link
@@ -11,7 +12,7 @@ than half of the words do is flagged.
 Words are counted by 32-bit hashes, pairs by the two hashes of their words, as sums with map-side combine. The pairs that
 speak for text go to the workers if a count proves them few (SEND), and are joined otherwise; both ways score alike.
 Defined results: null texts and texts
-of fewer than two words are never flagged; empty tables give no rows; repeated documents each count as a document.
+of fewer than two words are never flagged; empty tables give no rows; near-copies that differ in a word count as documents of their own.
 """
 
 from __future__ import annotations
@@ -58,13 +59,13 @@ def tokens(text: str) -> tuple[list[str], list[int]]:
     return words, kinds
 
 
-_SCHEMA = "doc_id bigint, n int, logs array<int>, pairs array<bigint>, u array<bigint>, c array<int>"
+_SCHEMA = "doc_id bigint, copy binary, n int, logs array<int>, pairs array<bigint>, u array<bigint>, c array<int>"
 #: Pairs that speak for text are sent to the workers if a count proves them this few; beyond it they are joined.
 SEND = 2_000_000
 
 
 def _pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row per page: words, log pairs, the pair of words at each place (0: none of text), distinct pairs and their counts."""
+    """One row per page: what its copies share, words, log pairs, the pair of words at each place (0: none of text), distinct pairs and their counts."""
     import xxhash
 
     known: dict[str, int] = {}
@@ -77,11 +78,11 @@ def _pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             h = known[w] = xxhash.xxh32_intdigest(w)
         return h
 
-    kinds_of = (pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()))
+    kinds_of = (pa.int64(), pa.binary(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()))
     for batch in batches:
         ids, texts = batch.column("doc_id").to_pylist(), batch.column("text")
         for lo in range(0, len(ids), 500):
-            rows: tuple[list, ...] = ([], [], [], [], [], [])
+            rows: tuple[list, ...] = ([], [], [], [], [], [], [])
             for doc, text in zip(ids[lo:lo + 500], texts[lo:lo + 500]):
                 words, kinds = tokens(text.as_py()) if text.is_valid else ([], [])
                 if len(words) < 2:
@@ -92,9 +93,10 @@ def _pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pairs = np.where(plain, (h[:-1] << np.uint64(32)) | h[1:], np.uint64(0)).view(np.int64)
                 u, c = np.unique(pairs[plain], return_counts=True)
                 logs = np.flatnonzero((kind[:-1] == LOG) & (kind[1:] == LOG)).astype(np.int32)
-                for column, v in zip(rows, (doc, len(words), logs, pairs, u, c.astype(np.int32))):
+                copy = xxhash.xxh3_128_digest(logs.tobytes() + b"|" + pairs.tobytes())
+                for column, v in zip(rows, (doc, copy, len(words), logs, pairs, u, c.astype(np.int32))):
                     column.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds_of)], names=["doc_id", "n", "logs", "pairs", "u", "c"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds_of)], names=["doc_id", "copy", "n", "logs", "pairs", "u", "c"])
 
 
 def _share(size: int, log: np.ndarray, speaks: np.ndarray) -> float:
@@ -123,6 +125,13 @@ def _scores(good):
     return run
 
 
+def without_copies(pages: DataFrame) -> DataFrame:
+    """One page of each group of copies, the one with the smallest id."""
+    many = written(pages.groupBy("copy").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).filter("n > 1").select("copy", "first"), "spam-copies")
+    extra = written(pages.select("doc_id", "copy").join(maybe_broadcast(many), "copy").filter("doc_id <> first").select("doc_id"), "spam-extra")
+    return pages.join(maybe_broadcast(extra), "doc_id", "left_anti")
+
+
 def speaking_pairs(pages: DataFrame) -> DataFrame:
     """(u): pairs that speak for running text, by counts over the whole corpus."""
     stats = pages.select(F.explode(F.arrays_zip("u", "c")).alias("x")).groupBy(F.col("x.u").alias("u")).agg(F.count("*").alias("docs"), F.sum("x.c").alias("times"))
@@ -139,7 +148,7 @@ def speaking_pairs(pages: DataFrame) -> DataFrame:
 def page_scores(docs: DataFrame, send: int = SEND) -> DataFrame:
     """(doc_id, n_words, share): share of words in keyword, link and tag passages, for pages of two words or more."""
     pages = written(docs.select("doc_id", "text").mapInArrow(_pages, _SCHEMA), "spam-pages")
-    good = written(speaking_pairs(pages), "spam-good")
+    good = written(speaking_pairs(without_copies(pages)), "spam-good")
     out = "doc_id bigint, n_words int, share double"
     if good.count() <= send:
         codes = docs.sparkSession.sparkContext.broadcast(np.sort(good.toPandas()["u"].to_numpy(np.int64)))

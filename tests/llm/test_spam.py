@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 from feedloom.llm import spam
 
 
@@ -23,5 +25,15 @@ def test_keyword_and_link_pages_are_told_from_text(spark):
     assert a == b and len(a) == len(texts) - 3
 
 
+def test_copies_of_a_list_do_not_vouch_for_it(spark):
+    rng = random.Random(7)
+    page = lambda: " ".join(f"the {rng.choice(('old', 'new', 'red'))} {rng.choice(('pump', 'crane', 'gate'))} opens {rng.choice(('up', 'down'))} again." for _ in range(6))
+    tags = " ".join(f"#tag{chr(97 + k // 26)}{chr(97 + k % 26)}x" for k in range(40))
+    texts = [page() for _ in range(200)] + [tags] * 5 + [tags.upper(), tags.replace(" #", ", ")]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for send in (spam.SEND, 0):
+        assert {r.share for r in spam.page_scores(df, send).filter(F.col("doc_id") >= 200).collect()} == {1.0}
+
+
 def test_empty(spark):
     assert spam.spam_pages(spark.createDataFrame([], "doc_id long, text string")).count() == 0
