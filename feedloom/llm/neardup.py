@@ -37,8 +37,10 @@ from feedloom.runtime import maybe_broadcast, written
 SLOTS = 1 << 18
 BLOCK = 8192
 LONGER, SHORTER, BOTH = 0, 1, 2
-#: Classes of up to this many copies are expanded into all pairs; larger ones are paired with their representative.
+#: Up to this many byte-identical texts are expanded into all pairs; of more, one record represents the text.
 EXPAND = 64
+#: Classes of more records than this are expanded in blocks that run on different tasks.
+SPREAD = 1000
 NUM, DEN = 4, 5  # the threshold 4/5 as whole numbers: no rounding at the border
 
 
@@ -47,10 +49,10 @@ def words_of(text: Column) -> Column:
 
 
 def word_sets(records: DataFrame, min_words: int) -> DataFrame:
-    """(rec, key, n, hs): hashes of the distinct words, sorted; key identifies the set. Written once."""
+    """(rec, key, same, n, hs): hashes of the distinct words, sorted; key identifies the set, same the text. Written once."""
     hs = F.array_sort(F.array_distinct(F.transform(words_of(F.col("text")), lambda w: F.xxhash64(w))))
-    sets = records.select("rec", hs.alias("hs")).filter(F.size("hs") >= min_words)
-    return written(sets.select("rec", F.xxhash64("hs").alias("key"), F.size("hs").alias("n"), "hs"), "nd-sets")
+    sets = records.select("rec", F.xxhash64("text").alias("same"), hs.alias("hs")).filter(F.size("hs") >= min_words)
+    return written(sets.select("rec", F.xxhash64("hs").alias("key"), "same", F.size("hs").alias("n"), "hs"), "nd-sets")
 
 
 def _prefix(batch: pa.RecordBatch, rarity: np.ndarray):
@@ -204,14 +206,14 @@ def _bounded_table(counts: DataFrame) -> np.ndarray:
 
 
 def similar_classes(records: DataFrame, min_words: int = 20) -> tuple[DataFrame, DataFrame]:
-    """(ka, kb): classes of records with at least four fifths of their words in common, and (rec, key): membership.
+    """(ka, kb): classes of records with at least four fifths of their words in common, and (rec, key, same): membership.
 
     records: (rec STRING, text STRING), one row per record.
     """
     spark = records.sparkSession
     sc = spark.sparkContext
     sets = word_sets(records, min_words)
-    members = sets.select("rec", "key")
+    members = sets.select("rec", "key", "same")
     many = written(members.groupBy("key").agg(F.min("rec").alias("rep"), F.count("*").alias("copies")).filter("copies > 1"), "nd-copies")
     extra = members.join(maybe_broadcast(many), "key").filter("rec <> rep").select("rec")
     classes = sets.join(maybe_broadcast(extra), "rec", "left_anti")
@@ -234,20 +236,25 @@ def similar_classes(records: DataFrame, min_words: int = 20) -> tuple[DataFrame,
 
 
 def similar_pairs(records: DataFrame, min_words: int = 20) -> DataFrame:
-    """(rec_a, rec_b), rec_a < rec_b. Copies: all pairs in classes of up to EXPAND, pairs with the representative beyond."""
+    """(rec_a, rec_b), rec_a < rec_b: all pairs; of more than EXPAND byte-identical texts, pairs with their representative."""
     pairs, members = similar_classes(records, min_words)
-    sizes = members.groupBy("key").agg(F.count("*").alias("copies"), F.min("rec").alias("rep"))
-    large = sizes.filter(F.col("copies") > EXPAND)
-    # rows that stand for their class in a product: all members of a small class, the representative of a large one
+    sizes = members.groupBy("key").agg(F.count("*").alias("copies"))
+    large = members.groupBy("key", "same").agg(F.count("*").alias("copies"), F.min("rec").alias("rep")).filter(F.col("copies") > EXPAND).drop("copies")
+    # rows that stand for their class in a product: all members but the copies of a represented text
     linked = pairs.select(F.col("ka").alias("key")).unionByName(pairs.select(F.col("kb").alias("key"))).distinct()
     used = members.join(maybe_broadcast(sizes.filter(F.col("copies") > 1).select("key").unionByName(linked).distinct()), "key", "left_semi")
-    shown = written(used.join(maybe_broadcast(large), "key", "left").filter("rep IS NULL OR rec = rep").select("key", "rec"), "nd-shown")
-    a, b = shown.select(F.col("key").alias("ka"), F.col("rec").alias("x")), shown.select(F.col("key").alias("kb"), F.col("rec").alias("y"))
-    between = pairs.join(a, "ka").join(b, "kb").select("x", "y")
-    within = a.join(b, F.col("ka") == F.col("kb")).filter("x < y").select("x", "y")
-    star = members.join(maybe_broadcast(large), "key").filter("rec <> rep").select(F.col("rep").alias("x"), F.col("rec").alias("y"))
-    all_pairs = between.unionByName(within).unionByName(star)
-    return all_pairs.select(F.least("x", "y").alias("rec_a"), F.greatest("x", "y").alias("rec_b")).distinct()
+    shown = written(used.join(maybe_broadcast(large), ["key", "same"], "left").filter("rep IS NULL OR rec = rep").select("key", "rec"), "nd-shown")
+    wide = written(shown.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > SPREAD).select("key", F.ceil(F.col("n") / SPREAD).cast("int").alias("blocks")), "nd-wide")
+    hint = maybe_broadcast(wide)
+    blocks = F.coalesce("blocks", F.lit(1))
+    b = shown.join(hint, "key", "left").select(F.col("key").alias("kb"), F.col("rec").alias("y"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"))
+    # a class is a partner of itself; a record meets all of its partner class in one block of it
+    x = shown.select(F.col("key").alias("ka"), F.col("rec").alias("x"))
+    meets = pairs.join(x, "ka").select(F.col("kb").alias("key"), "x", F.lit(False).alias("own")).unionByName(x.select(F.col("ka").alias("key"), "x", F.lit(True).alias("own")))
+    meets = meets.join(hint, "key", "left").select(F.col("key").alias("kb"), "x", "own", F.pmod(F.xxhash64("x"), blocks).cast("int").alias("block"))
+    met = meets.join(b, ["kb", "block"]).filter("NOT own OR x < y").select("x", "y")
+    star = members.join(maybe_broadcast(large), ["key", "same"]).filter("rec <> rep").select(F.col("rep").alias("x"), F.col("rec").alias("y"))
+    return met.unionByName(star).select(F.least("x", "y").alias("rec_a"), F.greatest("x", "y").alias("rec_b")).distinct()
 
 
 def groups(records: DataFrame, min_words: int = 20) -> DataFrame:

@@ -56,6 +56,19 @@ def test_many_copies_are_paired_with_their_representative(spark, monkeypatch):
     assert len(set(groups.values())) == 1 and len(groups) == 7
 
 
+def test_different_texts_of_one_class_are_all_paired(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "EXPAND", 3)
+    words = [f"w{k}" for k in range(30)]
+    rng = random.Random(2)
+    rows = [(f"o{k:02d}", " ".join(rng.sample(words, 30))) for k in range(12)] + [(f"c{k}", " ".join(words)) for k in range(5)]
+    rows += [(f"x{k}", " ".join(rng.sample([*words, "extra"], 31))) for k in range(6)]
+    shown = [r for r in rows if r[0] not in {f"c{k}" for k in range(1, 5)}]
+    for spread in (neardup.SPREAD, 4):
+        monkeypatch.setattr(neardup, "SPREAD", spread)
+        got = {tuple(r) for r in neardup.similar_pairs(frame(spark, rows)).collect()}
+        assert got == brute(shown, 20) | {("c0", f"c{k}") for k in range(1, 5)}
+
+
 def test_empty(spark):
     assert neardup.similar_pairs(frame(spark, corpus(3)).limit(0)).count() == 0
 
