@@ -6,7 +6,7 @@ the same records far more often than chance, while a remark's clauses appear wit
 
 1. clauses are normalised (case, numbers, punctuation) and counted; clauses of at least MIN_RECORDS records are nodes;
 2. nodes that share more records than chance gives (LIFT times the expected number; a log-likelihood ratio SURE above
-   that of the best of all node pairs under chance; near-copies of a record count once) are neighbours, weighted by their pointwise mutual information; nodes with common neighbours are linked with the cosine of their neighbourhoods, so that two
+   that of the best of all node pairs under chance; records with the same set of clauses count once, here and in 1) are neighbours, weighted by their pointwise mutual information; nodes with common neighbours are linked with the cosine of their neighbourhoods, so that two
    wordings that never meet are linked by the details both go with: a sparse graph of the wording, not of the records;
 3. average linkage by reciprocal nearest neighbours cuts the graph into issues (linkage.py);
 4. a record belongs to the issue its clauses speak for most; a record without a linked clause (typing errors, odd
@@ -71,29 +71,37 @@ def _cosines(edges: DataFrame) -> DataFrame:
     return x.join(y, "k").filter("a < b").groupBy("a", "b").agg(F.sum(F.col("wx") * F.col("wy")).alias("sim")).filter(F.col("sim") >= MIN_COSINE)
 
 
+def co_occurrences(split: DataFrame) -> tuple[DataFrame, DataFrame, float]:
+    """Nodes (h, f), pairs (a, b, c, ff) and the number of records, all counted over records with different sets of clauses."""
+    sets = split.select("rec", "cs", F.xxhash64(F.array_sort(F.array_distinct("cs.h"))).alias("sig"))
+    many = written(sets.groupBy("sig").agg(F.min("rec").alias("first"), F.count("*").alias("n")).filter("n > 1").select("sig", "first"), "iss-copies")
+    extra = written(sets.select("rec", "sig").join(maybe_broadcast(many), "sig").filter("rec <> first").select("rec"), "iss-extra")
+    once = split.join(maybe_broadcast(extra), "rec", "left_anti")
+    total = float(max(once.count(), 1))
+    counts = once.select(F.explode(F.array_distinct(F.col("cs.h"))).alias("h")).groupBy("h").agg(F.count("*").alias("f"))
+    nodes = written(counts.filter(F.col("f") >= MIN_RECORDS), "iss-nodes")
+    said = once.select("rec", F.posexplode("cs.h").alias("pos", "h"))
+    lines = said.join(maybe_broadcast(nodes), "h").groupBy("rec").agg(F.array_sort(F.collect_list(F.struct("pos", "h", "f"))).alias("xs"))
+    lines = lines.filter(F.size("xs") > 1)
+    at = F.sequence(F.lit(1), F.size("xs") - 1)
+
+    def pair(x: Column, y: Column) -> Column:
+        return F.struct(F.least(x["h"], y["h"]).alias("a"), F.greatest(x["h"], y["h"]).alias("b"), (x["f"] * y["f"]).alias("ff"))
+
+    near = F.flatten(F.transform(at, lambda i: F.transform(F.slice("xs", i + 1, NEAR), lambda y: pair(F.element_at("xs", i), y))))
+    met = lines.select(F.explode(F.array_distinct(near)).alias("p")).select("p.a", "p.b", "p.ff").filter("a <> b")
+    return nodes, met.groupBy("a", "b").agg(F.count("*").alias("c"), F.first("ff").alias("ff")), total
+
+
 def clusters(records: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(rec, cluster, score) of records (rec STRING, text STRING), one row per record."""
     records = records.select("rec", "text")
     said_as = F.transform(clauses(F.col("text")), lambda c: F.struct(F.xxhash64(c).alias("h"), c.alias("c")))
     split = records.select("rec", said_as.alias("cs"))
     split = written(split, "iss-clauses")
-    # near-copies share most clauses, so mostly the two smallest hashes of their clauses too: these stand for them
-    split = split.withColumn("sig", F.xxhash64(F.slice(F.array_sort(F.transform("cs", lambda x: F.xxhash64(x["h"], F.lit("sig")))), 1, 2)))
-    said = split.select("rec", "sig", F.posexplode("cs").alias("pos", "x")).select("rec", "sig", "pos", F.col("x.h").alias("h"))
-    counts = split.select("rec", F.explode(F.array_distinct(F.col("cs.h"))).alias("h")).groupBy("h").agg(F.count("*").alias("f"))
-    nodes = written(counts.filter(F.col("f") >= MIN_RECORDS), "iss-nodes")
-    total = float(max(split.count(), 1))
+    said = split.select("rec", F.explode("cs.h").alias("h"))
+    nodes, pairs, total = co_occurrences(split)
     least_sure = 2 * math.log(max(nodes.count(), 1)) + SURE
-
-    lines = said.join(maybe_broadcast(nodes), "h").groupBy("rec").agg(F.first("sig").alias("sig"), F.array_sort(F.collect_list(F.struct("pos", "h", "f"))).alias("xs"))
-    lines = lines.filter(F.size("xs") > 1)
-    at = F.sequence(F.lit(1), F.size("xs") - 1)
-    near = F.flatten(F.transform(at, lambda i: F.transform(F.slice("xs", i + 1, NEAR), lambda y: F.struct(F.element_at("xs", i).alias("x"), y.alias("y")))))
-    pairs = (
-        lines.select("sig", F.explode(near).alias("p")).filter("p.x.h <> p.y.h")
-        .select("sig", F.least("p.x.h", "p.y.h").alias("a"), F.greatest("p.x.h", "p.y.h").alias("b"), (F.col("p.x.f") * F.col("p.y.f")).alias("ff"))
-        .groupBy("a", "b", "ff", "sig").agg(F.lit(1).alias("one")).groupBy("a", "b").agg(F.count("*").alias("c"), F.first("ff").alias("ff"))
-    )
     lift = F.col("c") * total / F.col("ff")
     sure = F.col("c") * F.ln(lift) - F.col("c") + F.col("ff") / total
     edges = written(pairs.filter((F.col("c") >= MIN_SHARED) & (lift >= LIFT) & (sure >= least_sure)).select("a", "b", "c", F.ln(lift).alias("w")), "iss-edges")
@@ -108,7 +116,7 @@ def clusters(records: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         "h", "cluster", "f", "mass", (F.least(F.col("mates") / F.col("f"), F.lit(1.0)) * F.pow(F.ln(F.col("mass") + 1), F.lit(3))).alias("w"))
     weights = written(weights, "iss-weights")
 
-    votes = said.select("rec", "h").join(maybe_broadcast(weights), "h").groupBy("rec", "cluster").agg(F.sum("w").alias("score"), F.max("mass").alias("mass"))
+    votes = said.join(maybe_broadcast(weights), "h").groupBy("rec", "cluster").agg(F.sum("w").alias("score"), F.max("mass").alias("mass"))
     order = F.struct("score", "mass", -F.col("cluster"))
     named = written(votes.groupBy("rec").agg(F.max_by(F.struct("cluster", "score"), order).alias("v")).select("rec", "v.cluster", "v.score"), "iss-named")
 

@@ -35,6 +35,23 @@ def test_empty(spark):
     assert it.clusters(spark.createDataFrame([], "rec string, text string")).count() == 0
 
 
+def test_records_that_share_two_clauses_count_apart(spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(5)
+    rows = [sorted(rng.sample(range(40), rng.randrange(2, 9))) + [rng.randrange(40)] for _ in range(60)]
+    rows = [[k for j, k in enumerate(r) if k not in r[:j]] for r in rows] + [[1, 2, n] for n in range(100, 140)] + [[3, 4]] * 9
+    df = spark.createDataFrame([(f"r{k}", r) for k, r in enumerate(rows)], "rec string, hs array<long>")
+    split = df.select("rec", F.transform("hs", lambda h: F.struct(h.alias("h"), h.cast("string").alias("c"))).alias("cs"))
+    nodes, pairs, total = it.co_occurrences(split)
+    sets = {frozenset(r): r for r in rows}
+    f = {h: sum(h in s for s in sets) for h in range(140)}
+    assert total == len(sets) and {r.h: r.f for r in nodes.collect()} == {h: n for h, n in f.items() if n >= it.MIN_RECORDS}
+    got = {(r.a, r.b): (r.c, r.ff) for r in pairs.collect()}
+    assert got[1, 2][0] >= 40 and got.get((3, 4), (0,))[0] == sum({3, 4} <= s for s in sets)
+    assert got == {(a, b): (n, f[a] * f[b]) for a, b in itertools.combinations(range(40), 2) if (n := sum({a, b} <= s for s in sets)) and min(f[a], f[b]) >= it.MIN_RECORDS}
+
+
 def brute_average(edges, threshold):
     sim = {frozenset(e[:2]): e[2] for e in edges}
     groups = [{n} for n in {x for e in edges for x in e[:2]}]
