@@ -14,7 +14,7 @@ the same records far more often than chance, while a remark's clauses appear wit
    clauses, if at least COVERED of a clause's terms are known; texts left over that differ from each other in numbers
    only (machine messages) are issues of their own.
 
-Pairs are formed within a window of NEAR linked clauses, so a text of any length gives work in proportion to its length.
+All distinct nodes of a record are paired, however far apart they stand, one node's pairs at a time.
 Hot clauses are counted by map-side sums. Nothing is collected to the driver.
 
 Defined results: null and empty texts and texts nothing speaks for have a null cluster; ties go to the larger issue, then
@@ -32,7 +32,7 @@ from pyspark.sql import Window as W
 from feedloom.operators.linkage import average_linkage
 from feedloom.runtime import maybe_broadcast, written
 
-MIN_RECORDS, MIN_SHARED, LIFT, SURE, NEAR = 3, 3, 2.0, 3.0, 10
+MIN_RECORDS, MIN_SHARED, LIFT, SURE = 3, 3, 2.0, 3.0
 MIN_COSINE, THRESHOLD, COVERED = 0.05, 0.15, 0.5
 
 
@@ -80,16 +80,11 @@ def co_occurrences(split: DataFrame) -> tuple[DataFrame, DataFrame, float]:
     total = float(max(once.count(), 1))
     counts = once.select(F.explode(F.array_distinct(F.col("cs.h"))).alias("h")).groupBy("h").agg(F.count("*").alias("f"))
     nodes = written(counts.filter(F.col("f") >= MIN_RECORDS), "iss-nodes")
-    said = once.select("rec", F.posexplode("cs.h").alias("pos", "h"))
-    lines = said.join(maybe_broadcast(nodes), "h").groupBy("rec").agg(F.array_sort(F.collect_list(F.struct("pos", "h", "f"))).alias("xs"))
-    lines = lines.filter(F.size("xs") > 1)
-    at = F.sequence(F.lit(1), F.size("xs") - 1)
-
-    def pair(x: Column, y: Column) -> Column:
-        return F.struct(F.least(x["h"], y["h"]).alias("a"), F.greatest(x["h"], y["h"]).alias("b"), (x["f"] * y["f"]).alias("ff"))
-
-    near = F.flatten(F.transform(at, lambda i: F.transform(F.slice("xs", i + 1, NEAR), lambda y: pair(F.element_at("xs", i), y))))
-    met = lines.select(F.explode(F.array_distinct(near)).alias("p")).select("p.a", "p.b", "p.ff").filter("a <> b")
+    said = once.select("rec", F.explode(F.array_distinct("cs.h")).alias("h"))
+    lines = said.join(maybe_broadcast(nodes), "h").groupBy("rec").agg(F.array_sort(F.collect_list(F.struct("h", "f"))).alias("xs"))
+    each = lines.filter(F.size("xs") > 1).select("xs", F.explode(F.sequence(F.lit(1), F.size("xs") - 1)).alias("i"))
+    each = each.select(F.element_at("xs", F.col("i")).alias("x"), F.explode(F.slice("xs", F.col("i") + 1, F.size("xs"))).alias("y"))
+    met = each.select(F.col("x.h").alias("a"), F.col("y.h").alias("b"), (F.col("x.f") * F.col("y.f")).alias("ff"))
     return nodes, met.groupBy("a", "b").agg(F.count("*").alias("c"), F.first("ff").alias("ff")), total
 
 

@@ -52,6 +52,12 @@ def test_records_that_share_two_clauses_count_apart(spark):
     assert got == {(a, b): (n, f[a] * f[b]) for a, b in itertools.combinations(range(40), 2) if (n := sum({a, b} <= s for s in sets)) and min(f[a], f[b]) >= it.MIN_RECORDS}
 
 
+def test_clauses_far_apart_meet(spark):
+    split = spark.createDataFrame([(f"r{k}", [(h, str(h)) for h in [*range(30), 100 + k]]) for k in range(4)], "rec string, cs array<struct<h:long,c:string>>")
+    got = {(r.a, r.b): r.c for r in it.co_occurrences(split)[1].collect()}
+    assert got == dict.fromkeys(itertools.combinations(range(30), 2), 4)
+
+
 def brute_average(edges, threshold):
     sim = {frozenset(e[:2]): e[2] for e in edges}
     groups = [{n} for n in {x for e in edges for x in e[:2]}]
