@@ -8,14 +8,15 @@ from pyspark.sql import functions as F
 from feedloom.runtime import maybe_broadcast, written
 
 
-def average_linkage(edges: DataFrame, threshold: float, sizes: DataFrame | None = None, max_rounds: int = 200) -> DataFrame:
+def average_linkage(edges: DataFrame, threshold: float, sizes: DataFrame | None = None) -> DataFrame:
     """(id, cluster) for every node of (a BIGINT, b BIGINT, sim DOUBLE); cluster is the smallest node id in it.
 
     The similarity of two clusters is the mean over all pairs of their nodes, pairs without an edge counting 0, so the
     sum of edge weights and the two sizes are all a merge needs. Each round every cluster names its most similar
     neighbour (equal similarities: by a hash of the pair of ids), and every pair that names each other merges if its
     similarity reaches the threshold. Reciprocal pairs of average linkage stay reciprocal whatever else merges, so the
-    result is that of merging one best pair at a time. The rounds end when no pair merges; each is a written table.
+    result is that of merging one best pair at a time. Every round merges the best pair of all at least, so the rounds
+    end, when no pair merges; each is a written table of the edges, which carry the sizes of their ends.
 
     sizes: (id, n) gives nodes that stand for n members each, whose sim is then the sum over their member pairs; a node
     without a size counts 1, and nodes without an edge are kept.
@@ -23,31 +24,39 @@ def average_linkage(edges: DataFrame, threshold: float, sizes: DataFrame | None
     Self-links and null ids are ignored; of repeated links the largest similarity counts; an empty table gives no rows.
     """
     e = edges.filter("a IS NOT NULL AND b IS NOT NULL AND a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("sim").alias("s"))
-    e = written(e, "rnn-edges")
-    nodes = e.select(F.col("a").alias("id")).unionByName(e.select(F.col("b").alias("id"))).distinct()
     one = F.lit(1).cast("bigint")
-    if sizes is None:
-        start = nodes.select("id", F.col("id").alias("cluster"), one.alias("n"))
+    if sizes is not None:
+        for end in ("a", "b"):
+            e = e.join(sizes.select(F.col("id").alias(end), F.col("n").cast("bigint").alias(f"n{end}")), end, "left")
+        e = e.select("a", "b", "s", F.coalesce("na", one).alias("na"), F.coalesce("nb", one).alias("nb"))
     else:
-        start = nodes.join(sizes, "id", "full_outer").select("id", F.col("id").alias("cluster"), F.coalesce(F.col("n").cast("bigint"), one).alias("n"))
-    where = written(start, "rnn-nodes")
-    for k in range(max_rounds):
-        size = where.groupBy("cluster").agg(F.sum("n").alias("n"))
-        sized = e.join(size.withColumnsRenamed({"cluster": "a", "n": "na"}), "a").join(size.withColumnsRenamed({"cluster": "b", "n": "nb"}), "b")
-        sized = sized.withColumn("sim", F.round(F.col("s") / (F.col("na") * F.col("nb")), 12)).filter(F.col("sim") >= threshold)
+        e = e.select("a", "b", "s", one.alias("na"), one.alias("nb"))
+    e = written(e, "rnn-edges")
+    label = e.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    if sizes is not None:
+        label = label.join(sizes.select("id"), "id", "full_outer")
+    label = label.select("id", F.col("id").alias("cluster"))
+    merges = 0
+    while True:
+        sized = e.withColumn("sim", F.round(F.col("s") / (F.col("na") * F.col("nb")), 12)).filter(F.col("sim") >= threshold)
         # equal similarities are common; ordered by a hash of the pair they fall into many mutual pairs at once
-        order = F.struct(F.col("sim").alias("sim"), F.xxhash64("a", "b").alias("h"), (-F.col("a")).alias("x"), (-F.col("b")).alias("y"))
+        order = F.struct(F.col("sim").alias("sim"), F.xxhash64("a", "b").alias("h"), (-F.col("a")).alias("x"), (-F.col("b")).alias("y"), (F.col("na") + F.col("nb")).alias("n"))
         best = sized.select(F.explode(F.array("a", "b")).alias("c"), order.alias("o")).groupBy("c").agg(F.max("o").alias("o"))
-        pair = best.groupBy((-F.col("o.x")).alias("a"), (-F.col("o.y")).alias("b")).agg(F.count("*").alias("named")).filter("named = 2").select("a", "b")
-        pair = written(pair, f"rnn-merge{k}")
+        pair = best.groupBy((-F.col("o.y")).alias("old"), (-F.col("o.x")).alias("new"), F.col("o.n").alias("n")).agg(F.count("*").alias("named")).filter("named = 2").select("old", "new", "n")
+        pair = written(pair, f"rnn-merge{merges}")
         merged = pair.count()
         if not merged:
             break
-        to = maybe_broadcast(pair.select(F.col("b").alias("old"), F.col("a").alias("new")), merged)
-
-        def moved(df: DataFrame, column: str, to: DataFrame = to) -> DataFrame:
-            return df.join(to.withColumnsRenamed({"old": column, "new": "new_"}), column, "left").withColumn(column, F.coalesce("new_", column)).drop("new_")
-
-        e = written(moved(moved(e, "a"), "b").filter("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("s").alias("s")), f"rnn-edges{k + 1}")
-        where = written(moved(where, "cluster").select("id", "cluster", "n"), f"rnn-nodes{k + 1}")
-    return where.select("id", "cluster")
+        merges += 1
+        # the first of a pair keeps its id and grows, the second takes over id and size of the first
+        to = maybe_broadcast(pair.select("old", "new", "n").unionByName(pair.select(F.col("new").alias("old"), "new", "n")), 2 * merged)
+        for end in ("a", "b"):
+            e = e.join(to.select(F.col("old").alias(end), F.col("new").alias("new_"), F.col("n").alias("n_")), end, "left").withColumn(f"n{end}", F.coalesce("n_", f"n{end}")).withColumn(end, F.coalesce("new_", end)).drop("new_", "n_")
+        swap = F.col("a") > F.col("b")
+        e = e.filter("a <> b").select(
+            F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "s", F.when(swap, F.col("nb")).otherwise(F.col("na")).alias("na"), F.when(swap, F.col("na")).otherwise(F.col("nb")).alias("nb"))
+        e = written(e.groupBy("a", "b").agg(F.sum("s").alias("s"), F.max("na").alias("na"), F.max("nb").alias("nb")), f"rnn-edges{merges}")
+        label = label.join(maybe_broadcast(pair.select(F.col("old").alias("cluster"), F.col("new").alias("new_")), merged), "cluster", "left").select("id", F.coalesce("new_", "cluster").alias("cluster"))
+        if merges % 8 == 0:  # a bounded plan
+            label = written(label, f"rnn-labels{merges}")
+    return label
