@@ -139,7 +139,7 @@ def compare(c: dict[str, np.ndarray], rows: int = 512) -> tuple[np.ndarray, np.n
             up = np.searchsorted(fn, np.minimum(reach[x], n[x]).max(), side="right")
             for j in range(lo, up, 8192):
                 y = slice(j, min(up, j + 8192))
-                near = np.bitwise_count(parity[x][:, None] ^ fp[y][None, :]) <= (2 * n[x] // 9).astype(np.uint8)[:, None]
+                near = np.bitwise_count(parity[x][:, None] ^ fp[y][None, :]) <= np.minimum(2 * n[x] // 9, 64).astype(np.uint8)[:, None]  # 64 parities differ at most
                 a, b = np.nonzero(near)
                 if not len(a):
                     continue
@@ -160,7 +160,6 @@ def compare(c: dict[str, np.ndarray], rows: int = 512) -> tuple[np.ndarray, np.n
 def _join_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Batches arrive sorted by cell, block and n; only one block is held at a time."""
     open_parts: list[dict[str, np.ndarray]] = []
-    seen: set[tuple[int, int]] = set()
 
     def close() -> pa.RecordBatch | None:
         if not open_parts:
@@ -170,12 +169,7 @@ def _join_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if len(c["n"]) < 2:
             return None
         a, b = compare(c)
-        fresh = [p for p in zip(a.tolist(), b.tolist()) if p not in seen]
-        if len(seen) > 500_000:
-            seen.clear()  # only saves repeats on the way; distinct() follows
-        seen.update(fresh)
-        fresh = list(dict.fromkeys(fresh))
-        return pa.RecordBatch.from_arrays([pa.array([p[0] for p in fresh], pa.int64()), pa.array([p[1] for p in fresh], pa.int64())], names=["ka", "kb"]) if fresh else None
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["ka", "kb"]) if len(a) else None
 
     last = None
     for batch in batches:

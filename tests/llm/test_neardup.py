@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 
 from feedloom.llm import neardup
 
@@ -40,6 +41,31 @@ def test_equals_brute_force(spark):
     assert got == brute(rows, 20) and ("long", "long2") in got
 
 
+@pytest.mark.parametrize("n", [20, 64, 143, 575, 1151, 1152, 1153, 1200, 1300, 2303, 2304, 2305, 3000])
+def test_no_length_is_lost(n):
+    """Two texts of n and more words just inside the threshold, at every multiple of the counters' widths."""
+    rng = np.random.default_rng(n)
+    most = n // 9  # words replaced: (n - k) / (n + k) >= 4/5
+    for k in {0, 1, most // 2, most}:
+        a = rng.integers(-2**62, 2**62, n)
+        b = np.concatenate([a[k:], rng.integers(-2**62, 2**62, k)])
+        flat, row = np.concatenate([a, b]), np.repeat([0, 1], [n, n])
+        parity, u0, u1 = neardup.embed(flat, row, 2)
+        cell = {"n": np.array([n, n], np.int32), "pos": np.zeros(2, np.int32), "key": np.array([1, 2]), "side": np.full(2, neardup.BOTH, np.int8), "parity": parity.view(np.int64), "u0": u0.view(np.int64), "u1": u1.view(np.int64)}
+        assert [x.tolist() for x in neardup.compare(cell)] == [[1], [2]]
+
+
+def test_long_texts_equal_brute_force(spark):
+    rng = random.Random(11)
+    rows = []
+    for k, n in enumerate((40, 600, 1100, 1152, 1200, 1300, 2304, 3000)):
+        words = [f"w{k}x{j}" for j in range(n)]
+        for j, share in enumerate((0, 0.05, 0.09, 0.15)):
+            cut = int(n * share)
+            rows.append((f"r{k}{j}", " ".join(rng.sample(words[cut:], n - cut) + [f"z{j}{k}{i}" for i in range(cut)])))
+    assert {tuple(r) for r in neardup.similar_pairs(frame(spark, rows)).collect()} == brute(rows, 20)
+
+
 def test_large_cells_are_split_into_blocks(spark, monkeypatch):
     monkeypatch.setattr(neardup, "BLOCK", 4)
     rows = corpus(seed=5)
