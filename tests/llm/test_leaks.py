@@ -27,6 +27,17 @@ def test_equals_brute_force(spark):
     got = {(r.doc_id, r.item_id) for r in leaks.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(*i, "c") for i in items], "item_id long, text string, doc_id string")).collect()}
     want = {(d, i) for d, t in docs if t for i, u in items if grams(t) & grams(u)}
     assert got == want and (903, 0) in got
+    d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    joined = {(r.doc_id, r.item_id) for r in leaks.leaks(d, i, send=0).collect()}
+    assert joined == want
+
+
+def test_markup_of_any_length_breaks_no_run(spark):
+    words = [f"v{k}" for k in range(40)]
+    tag = "<span class='" + "x" * 5000 + "'>"
+    docs = [("a", " ".join(words[:20]).replace("v7", tag + "v7</span>")), ("b", " ".join(words[:6]) + " if a &lt; b " + " ".join(words[6:14])), ("c", " ".join(words[27:40])), ("d", " ".join(words[28:40]))]
+    got = leaks.leaks(spark.createDataFrame(docs, "doc_id string, text string"), spark.createDataFrame([(1, " ".join(words))], "item_id int, text string")).collect()
+    assert {(r.doc_id, r.longest_run) for r in got} == {("a", 20), ("c", 13)}
 
 
 def test_empty(spark):
