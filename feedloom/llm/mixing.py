@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from feedloom.runtime import written
+from feedloom.runtime import maybe_broadcast, written
 
 #: Folder of the public tokenizer files and the vocabulary used by default.
 TOKENIZERS = os.environ.get("FEEDLOOM_TOKENIZERS", "/opt/tokenizers")
@@ -59,26 +59,32 @@ def token_count(text: Column, path: str | None = None) -> Column:
 
 
 def sizes(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """(doc_id, source, text_key, hash, tokens), written once: the texts are tokenised a single time."""
-    key = F.md5("text")
-    s = docs.filter(F.col("text").isNotNull()).select("doc_id", "source", key.alias("text_key"), (F.conv(F.substring(key, 1, 15), 16, 10).cast("bigint")).alias("hash"), token_count(F.col("text"), path).alias("tokens"))
+    """(doc_id, source, text_key, hash, tokens), written once: the texts are tokenised a single time. hash and text_key identify a text."""
+    digest = F.substring(F.md5("text"), 1, 15)
+    s = docs.filter(F.col("text").isNotNull()).select(
+        "doc_id", "source", F.xxhash64("text").alias("text_key"), F.conv(digest, 16, 10).cast("bigint").alias("hash"), token_count(F.col("text"), path).alias("tokens"))
     return written(s, "mix-sizes")
 
 
+def distinct_texts(sized: DataFrame) -> DataFrame:
+    """(source, text_key, hash, tokens) of each source's distinct texts, written once."""
+    t = sized.filter(F.col("source").isNotNull()).groupBy("source", "text_key", "hash").agg(F.max("tokens").alias("tokens"))
+    return written(t, "mix-texts")
+
+
 def _digit(level: int) -> Column:
     return F.shiftright("hash", 60 - DIGITS * (level + 1)).bitwiseAND(F.lit((1 << DIGITS) - 1))
 
 
-def plan(sized: DataFrame, targets: DataFrame, total: int | None = None) -> DataFrame:
-    """Per target source: supply, goal, whole passes, rest, hash threshold of the extra pass, whether it is short, and the share reached.
+def _histogram(texts: DataFrame, level: int) -> DataFrame:
+    return texts.groupBy("source", _digit(level).alias("bucket")).agg(F.sum("tokens").alias("tokens"))
 
-    total is the size of the mixture; by default that of all documents together, null sources included.
-    """
+
+def goals(sized: DataFrame, targets: DataFrame, hist: DataFrame, total: int | None = None) -> DataFrame:
+    """Per target source: supply (the sum of its histogram), goal, whole passes, rest of the budget, and whether it is short."""
     goal_total = sized.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("all_tokens")) if total is None else sized.sparkSession.range(1).select(F.lit(total).cast("bigint").alias("all_tokens"))
-    texts = sized.filter(F.col("source").isNotNull()).groupBy("source", "text_key", "hash").agg(F.max("tokens").alias("tokens"))
-    hist = texts.groupBy("source", _digit(0).alias("bucket")).agg(F.sum("tokens").alias("tokens"))
     supply = hist.groupBy("source").agg(F.sum("tokens").alias("supply"))
-    goals = (
+    return (
         targets.select("source", F.coalesce("target_share", F.lit(0.0)).alias("target_share"), F.greatest(F.coalesce("max_repeats", F.lit(1)), F.lit(0)).alias("max_repeats"))
         .join(supply, "source", "left").withColumn("supply", F.coalesce("supply", F.lit(0)))
         .crossJoin(F.broadcast(goal_total))  # one row
@@ -87,33 +93,39 @@ def plan(sized: DataFrame, targets: DataFrame, total: int | None = None) -> Data
         .withColumn("passes", F.when(F.col("supply") > 0, F.least(F.floor(F.col("goal") / F.col("supply")), F.col("max_repeats"))).otherwise(0))
         .withColumn("rest", F.when(F.col("passes") < F.col("max_repeats"), F.col("goal") - F.col("passes") * F.col("supply")).otherwise(0.0))
     )
+
+
+def supplies(sized: DataFrame, targets: DataFrame, total: int | None = None) -> DataFrame:
+    """goals() from the first histogram alone: enough to tell which sources are short."""
+    return goals(sized, targets, _histogram(distinct_texts(sized), 0), total)
+
+
+def plan(sized: DataFrame, targets: DataFrame, total: int | None = None) -> DataFrame:
+    """Per target source: supply, goal, whole passes, rest, hash threshold of the extra pass, whether it is short, and the share reached.
+
+    total is the size of the mixture; by default that of all documents together, null sources included.
+    """
+    texts = distinct_texts(sized)
+    hist = written(_histogram(texts, 0), "mix-histogram")
+    aim = written(goals(sized, targets, hist, total), "mix-goals")
     # nested budgets: find the bucket in which the rest is used up, then open only that bucket
-    state = goals.select("source", F.col("rest").alias("left"), F.lit(0).cast("bigint").alias("prefix"), F.lit(0).cast("bigint").alias("taken"))
+    state = aim.select("source", F.col("rest").alias("left"), F.lit(0).cast("bigint").alias("prefix"), F.lit(0).cast("bigint").alias("taken"))
     for level in range(LEVELS):
-        lead = F.shiftright("hash", 60 - DIGITS * level) if level else F.lit(0).cast("bigint")
-        inside = texts.withColumn("prefix", lead.cast("bigint")).join(F.broadcast(state.select("source", "prefix")), ["source", "prefix"])  # as many rows as targets
-        sums = inside.groupBy("source", _digit(level).alias("bucket")).agg(F.sum("tokens").alias("tokens"))
+        small = maybe_broadcast(state)
+        if level:
+            prefix = F.shiftright("hash", 60 - DIGITS * level).alias("prefix")
+            hist = _histogram(texts.select("source", "hash", "tokens", prefix).join(small.select("source", "prefix"), ["source", "prefix"], "left_semi"), level)
         w = W.partitionBy("source").orderBy("bucket")  # at most 2**DIGITS rows a source
-        upto = sums.withColumn("upto", F.sum("tokens").over(w.rowsBetween(W.unboundedPreceding, 0)))
-        fits = (
-            upto.join(F.broadcast(state.select("source", "left")), "source").filter(F.col("upto") <= F.col("left"))
-            .groupBy("source").agg(F.max("upto").alias("got"), (F.max("bucket") + 1).alias("next"))
-        )
-        over = (
-            upto.join(F.broadcast(state.select("source", "left")), "source").filter(F.col("upto") > F.col("left"))
-            .groupBy("source").agg(F.min("bucket").alias("boundary"))
-        )
-        state = (
-            state.join(fits, "source", "left").join(over, "source", "left")
-            .select(
-                "source", (F.col("left") - F.coalesce("got", F.lit(0))).alias("left"),
-                (F.col("prefix") * (1 << DIGITS) + F.coalesce("boundary", "next", F.lit(0))).alias("prefix"),
-                (F.col("taken") + F.coalesce("got", F.lit(0))).alias("taken"),
-            )
-        )
-        state = written(state, f"mix-level{level}")
+        upto = hist.withColumn("upto", F.sum("tokens").over(w.rowsBetween(W.unboundedPreceding, 0))).join(small.select("source", "left"), "source")
+        inside = F.col("upto") <= F.col("left")
+        cut = upto.groupBy("source").agg(
+            F.max(F.when(inside, F.col("upto"))).alias("got"), (F.max(F.when(inside, F.col("bucket"))) + 1).alias("next"), F.min(F.when(~inside, F.col("bucket"))).alias("boundary"))
+        state = written(state.join(cut, "source", "left").select(
+            "source", (F.col("left") - F.coalesce("got", F.lit(0))).alias("left"),
+            (F.col("prefix") * (1 << DIGITS) + F.coalesce("boundary", "next", F.lit(0))).alias("prefix"),
+            (F.col("taken") + F.coalesce("got", F.lit(0))).alias("taken")), f"mix-level{level}")
     threshold = F.col("prefix") * (1 << (60 - DIGITS * LEVELS))
-    return goals.join(state.select("source", "taken", threshold.alias("threshold")), "source", "left").withColumn("reached", F.col("passes") * F.col("supply") + F.coalesce("taken", F.lit(0)))
+    return aim.join(state.select("source", "taken", threshold.alias("threshold")), "source", "left").withColumn("reached", F.col("passes") * F.col("supply") + F.coalesce("taken", F.lit(0)))
 
 
 def mixture(sized: DataFrame, plan_df: DataFrame) -> DataFrame:
@@ -121,7 +133,7 @@ def mixture(sized: DataFrame, plan_df: DataFrame) -> DataFrame:
     once = sized.filter(F.col("source").isNotNull()).groupBy("source", "text_key", "hash").agg(F.min("doc_id").alias("doc_id"), F.max("tokens").alias("tokens"))
     p = plan_df.select("source", "passes", "threshold")
     copies = (F.col("passes") + F.when(F.col("hash") < F.col("threshold"), 1).otherwise(0)).cast("int")
-    return once.join(F.broadcast(p), "source").withColumn("copies", copies).filter(F.col("copies") > 0).select("doc_id", "source", "tokens", "copies")
+    return once.join(maybe_broadcast(p), "source").withColumn("copies", copies).filter(F.col("copies") > 0).select("doc_id", "source", "tokens", "copies")
 
 
 def shares(plan_df: DataFrame) -> DataFrame:

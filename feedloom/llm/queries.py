@@ -76,7 +76,7 @@ def p7_found(spark: SparkSession, sf: str) -> DataFrame:
 
 def p8_found(spark: SparkSession, sf: str) -> DataFrame:
     sized = mixing.sizes(table(spark, sf, "documents"))
-    return mixing.plan(sized, table(spark, sf, "mix_targets")).filter("short").select("source")
+    return mixing.supplies(sized, table(spark, sf, "mix_targets")).filter("short").select("source")
 
 
 def p8_mixture(spark: SparkSession, sf: str) -> DataFrame:
@@ -103,7 +103,7 @@ def p9_scores(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (p2_found, p2_redacted, p3_found, p3_groups, p6_found, p6_clusters, p7_found, p8_found, p8_mixture, p8_shares, p9_found, p9_scores)}
 
 SQL = {
-    "p7_found": r"""WITH d AS (SELECT doc_id, regexp_extract_all(lower(regexp_replace(text, '</?[A-Za-z][^<>]{0,300}>|&(?:[A-Za-z]{2,8}|#x?[0-9A-Fa-f]{1,6});', ' ', 'g')), '[\p{L}\p{N}]+') AS w FROM documents),
+    "p7_found": r"""WITH d AS (SELECT doc_id, regexp_extract_all(lower(regexp_replace(text, '</?[A-Za-z][^<>]*>|&(?:[A-Za-z]{2,8}|#x?[0-9A-Fa-f]{1,6});', ' ', 'g')), '[\p{L}\p{N}]+') AS w FROM documents),
         i AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM eval_items),
         ds AS (SELECT doc_id, array_to_string(w[k:k+12], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS k FROM d)),
         s AS (SELECT item_id, array_to_string(w[k:k+12], ' ') AS s FROM (SELECT item_id, w, unnest(range(1, len(w) - 11)) AS k FROM i))

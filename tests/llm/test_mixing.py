@@ -26,6 +26,7 @@ def test_plan_and_mixture(spark):
     for s, r in p.items():
         assert (r.supply or 0) == distinct[s]
         assert r.short == ((r.target_share or 0) * total > distinct[s] * (r.max_repeats or 1))
+    assert {r.source: r.short for r in mixing.supplies(sized, spark.createDataFrame(TARGETS, "source string, target_share double, max_repeats int")).collect()} == {s: r.short for s, r in p.items()}
     used = mixing.mixture(sized, plan).collect()
     for s, r in p.items():
         own = [u for u in used if u.source == s]
