@@ -1,10 +1,11 @@
 """Delimited records loaded into typed columns, with the rejected ones and their reason beside them.
 
 Workers write the records of a file (or of a slice of a large one: the header is known, so a file is never one task's
-burden) to scratch CSV files of their own and read them with DuckDB, whose reject tables give the line-level errors. Each
-record carries its number as a last field, which ties rows and errors back to raw records. A record that a broken
-neighbour swallowed is read again, alone in a file. DuckDB lets a quote inside an unquoted field pass, so every record
-that holds a quote is finally held against the grammar of RFC 4180.
+burden) to scratch CSV files of their own and read them with DuckDB. Its reject tables hold the line-level errors, which
+are joined back to the raw records by line or file; the accepted rows carry their record number as a last field and come
+out typed. A record that a broken neighbour swallowed is read again, alone in a file. DuckDB is too lenient in two
+places (a quote inside an unquoted field, blanks after a closing quote), so records that hold a quote or a bare line
+break, and only those, are also held against the grammar of RFC 4180.
 
 Reasons, the first that holds: ``broken_quoting``, ``wrong_column_count``, ``invalid_value``. A record whose file has no
 header, no known delimiter or no column for a needed field has the reason ``no_header``. Header and blank rows are no
@@ -24,6 +25,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from feedloom.runtime import shared_dir
+
 # Header names by field, in order of preference.
 ALIASES = {
     "body": ["body", "description", "text", "comment", "message", "feedback", "subject"],
@@ -39,7 +42,7 @@ FIELDS = list(ALIASES)
 #: Records a worker hands to DuckDB at once.
 SLICE = 4_000
 
-OUTPUT = "export_id string, rec_no int, reason string, " + ", ".join(f"{f} string" for f in FIELDS)
+OUTPUT = "export_id string, rec_no int, reason string, " + ", ".join(f"{f} string" for f in FIELDS) + ", created_at timestamp_ntz, mrr_value double"
 
 
 @lru_cache(maxsize=64)
@@ -50,6 +53,11 @@ def grammar(delim: str) -> tuple[re.Pattern, re.Pattern]:
     return re.compile(rf"{field}(?:{d}{field})*"), re.compile(rf'("(?:[^"]|"")*"|[^"{d}\r\n]*)({d}|$)')
 
 
+def well_quoted(raw: str, delim: str) -> bool:
+    """Whether a record (without its line end) is valid by RFC 4180, whatever its number of fields."""
+    return bool(grammar(delim)[0].fullmatch(raw))
+
+
 def split_record(raw: str, delim: str) -> list[str] | None:
     """Fields of a record, or None if its quoting is broken. A carriage return left at the end is no part of it."""
     raw = raw[:-1] if raw.endswith("\r") else raw
@@ -74,117 +82,131 @@ def bind(header: list[str]) -> dict[str, int]:
     return {f: names.index(a[0]) for f, aliases in ALIASES.items() if (a := [x for x in aliases if x in names])}
 
 
-_TICKET = re.compile(r"T-[0-9]+")
-_CREATED = re.compile(r"(\d{4})-(\d\d)-(\d\d)T([01]\d|2[0-3]):([0-5]\d):([0-5]\d)Z", re.ASCII)
-
-
-def valid_values(row: dict[str, str]) -> bool:
-    """Ticket id, description and creation time are usable; other fields may hold anything."""
-    if not _TICKET.fullmatch(row.get("id", "").strip()):
-        return False
-    body = row.get("body", "")
-    if not body.strip() or "�" in body:
-        return False
-    m = _CREATED.fullmatch(row.get("client_ts", "").strip())
-    if not m:
-        return False
-    y, mo, d = int(m[1]), int(m[2]), int(m[3])
-    if not (y >= 1 and 1 <= mo <= 12):
-        return False
-    last = [31, 29 if y % 4 == 0 and (y % 100 or y % 400 == 0) else 28, 31, 30, 31, 30, 31, 31, 30, 31, 30, 31][mo - 1]
-    return 1 <= d <= last
-
-
-def _duck_rows(con, paths: list[str], delim: str, width: int) -> tuple[dict[str, list[str]], dict[str, set[str]]]:
-    """Rows DuckDB accepts and the kinds of error it reports, both by the record number in the last field or file name."""
-    columns = ", ".join(f"'c{i}': 'VARCHAR'" for i in range(width)) + ", 'rec': 'VARCHAR'"
-    files = "[" + ", ".join("'" + p.replace("'", "''") + "'" for p in paths) + "]"
-    lit = delim.replace("'", "''")
-    rows = con.execute(
-        f"SELECT * FROM read_csv({files}, delim='{lit}', quote='\"', escape='\"', header=false, auto_detect=false, columns={{{columns}}}, "
-        "store_rejects=true, strict_mode=true, filename=true, rejects_limit=0, max_line_size=16777216)"
-    ).fetchall()
-    errors: dict[str, set[str]] = {}
-    for path, kind in con.execute("SELECT file_path, error_type FROM reject_errors JOIN reject_scans USING (scan_id, file_id)").fetchall():
-        errors.setdefault(os.path.basename(path)[:-4], set()).add(kind)
-    con.execute("DROP TABLE IF EXISTS reject_errors; DROP TABLE IF EXISTS reject_scans")
-    return {str(r[width]): [x or "" for x in r[:width]] for r in rows}, errors
-
-
-def _load_slice(con, folder: str, raws: list[str], delim: str, header: list[str]) -> list[tuple[str | None, list[str] | None]]:
-    """(reason, fields) of each record of one file's slice."""
-    width = len(header)
+#: What counts as blank around a value.
+BLANKS = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
+
+_TYPED = """
+SELECT rec::INTEGER AS rec, {fields}, try_strptime(ts, '%Y-%m-%dT%H:%M:%SZ') AS created_at, try_cast(regexp_replace(trim({mrr}, $blanks), '[$€£,\\s]', '', 'g') AS DOUBLE) AS mrr_value,
+  NOT (regexp_full_match(trim({id}, $blanks), 'T-[0-9]+') AND trim({body}, $blanks) <> '' AND NOT contains({body}, chr(65533))
+    AND regexp_full_match(ts, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}T([01][0-9]|2[0-3]):[0-5][0-9]:[0-5][0-9]Z') AND left(ts, 4) <> '0000' AND created_at IS NOT NULL) AS unusable
+FROM (SELECT *, trim({client_ts}, $blanks) AS ts FROM {read})"""
+
+
+class _Loader:
+    """Reads the CSV files of one slice with DuckDB: typed rows, and the errors its reject tables hold."""
+
+    def __init__(self, con, folder: str, delim: str, header: list[str]):
+        self.con, self.folder, self.delim, self.width = con, folder, delim, len(header)
+        self.at = bind(header)
+
+    def write(self, name: str, records: list[tuple[int, str]]) -> str:
+        path = os.path.join(self.folder, name)
+        with open(path, "w", encoding="utf-8", errors="surrogatepass", newline="") as f:
+            f.writelines(f"{text}{self.delim}{i}\n" for i, text in records)
+        return path
+
+    def read(self, paths: list[str]) -> tuple[pd.DataFrame, list[tuple[str, int, str]]]:
+        """(typed rows by record number, rejects as (file, line, kind)). The files are removed."""
+        quoted = lambda x: "'" + x.replace("'", "''") + "'"
+        columns = ", ".join(f"'c{i}': 'VARCHAR'" for i in range(self.width)) + ", 'rec': 'VARCHAR'"
+        read = (
+            f"read_csv([{', '.join(map(quoted, paths))}], delim={quoted(self.delim)}, quote='\"', escape='\"', header=false, auto_detect=false, columns={{{columns}}}, "
+            "store_rejects=true, strict_mode=true, rejects_limit=0, max_line_size=16777216, parallel=false)"
+        )
+        said = {f: f"coalesce(c{self.at[f]}, '')" if f in self.at else "''" for f in FIELDS}
+        fields = ", ".join(f"{said[f]} AS \"{f}\"" if f in self.at else f"NULL::VARCHAR AS \"{f}\"" for f in FIELDS)
+        rows = self.con.execute(_TYPED.format(read=read, fields=fields, **{f: said[f] for f in ("id", "body", "client_ts", "mrr")}), {"blanks": BLANKS}).df()
+        errors = self.con.execute("SELECT DISTINCT file_path, line, error_type FROM reject_errors JOIN reject_scans USING (scan_id, file_id)").fetchall()
+        self.con.execute("DROP TABLE IF EXISTS reject_errors; DROP TABLE IF EXISTS reject_scans")
+        for p in paths:
+            os.remove(p)
+        return rows, errors
+
+
+def _load_slice(loader: _Loader, raws: list[str]) -> pd.DataFrame:
+    """One row per record of a slice of one file: reason and typed fields.
+
+    Records without a quote or bare line break go into one file, where an error's line is the record. Those with one may
+    swallow their neighbours: they are read together, and whatever does not come back is read again alone in a file, whose
+    errors are the record's. A quoted field that never ends is the one thing DuckDB neither returns nor reports.
+    """
     text = [r[:-1] if r.endswith("\r") else r for r in raws]
-    whole = os.path.join(folder, "slice.csv")
-    with open(whole, "w", encoding="utf-8", newline="") as f:
-        f.writelines(f"{t}{delim}{i}\n" for i, t in enumerate(text))
-    clean, _ = _duck_rows(con, [whole], delim, width)
-    open_ones = [i for i in range(len(text)) if str(i) not in clean]
-    paths = []
-    for i in open_ones:
-        paths.append(os.path.join(folder, f"{i}.csv"))
-        with open(paths[-1], "w", encoding="utf-8", newline="") as f:
-            f.write(f"{text[i]}{delim}{i}\n")
-    errors: dict[str, set[str]] = {}
-    for k in range(0, len(paths), 500):
-        alone, more = _duck_rows(con, paths[k:k + 500], delim, width)
-        clean |= alone
-        errors |= more
-    for p in paths:
-        os.remove(p)
-    out: list[tuple[str | None, list[str] | None]] = []
-    for i, t in enumerate(text):
-        fields = clean.get(str(i))
-        if fields is not None and '"' not in t and "\r" not in t and "\n" not in t:
-            out.append((None, fields))
-            continue
-        exact = split_record(t, delim)  # exact check of whatever DuckDB refused or may have let pass
-        if exact is None:
-            out.append(("broken_quoting", None))
-        elif len(exact) != width:
-            out.append(("wrong_column_count", None))
-        else:
-            out.append((None, exact))
-    return out
-
-
-def _load_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    import duckdb
-
-    con = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
-    folder = tempfile.mkdtemp(prefix="rejects-")
-    try:
-        for pdf in batches:
-            pdf = pdf[[isinstance(r, str) and r.strip() != "" for r in pdf["raw"]]]
-            for _, part in pdf.groupby(["export_id", "header", "delim"], sort=False, dropna=False):
-                for k in range(0, len(part), SLICE):
-                    yield _finish(con, folder, part.iloc[k:k + SLICE])
-    finally:
-        con.close()
-        shutil.rmtree(folder, ignore_errors=True)
+    tricky = [i for i, t in enumerate(text) if '"' in t or "\n" in t or "\r" in t]
+    hard = set(tricky)
+    plain = [i for i in range(len(text)) if i not in hard]
+    reasons: dict[int, str] = {}
+    got = []
+    if plain:
+        rows, errors = loader.read([loader.write("plain.csv", [(i, text[i]) for i in plain])])
+        got.append(rows)
+        reasons |= {plain[line - 1]: "wrong_column_count" for _, line, _ in errors}
+    if tricky:
+        rows, _ = loader.read([loader.write("quoted.csv", [(i, text[i]) for i in tricky])])
+        rows = rows[rows["rec"].isin(tricky) & ~rows["rec"].duplicated(keep=False)]
+        got.append(rows)
+        rest = sorted(hard - set(rows["rec"]))
+        for k in range(0, len(rest), 500):
+            part = rest[k:k + 500]
+            alone, errors = loader.read([loader.write(f"{i}.csv", [(i, text[i])]) for i in part])
+            got.append(alone)
+            kinds: dict[int, set[str]] = {}
+            for path, _, kind in errors:
+                kinds.setdefault(int(os.path.basename(path)[:-4]), set()).add(kind)
+            back = set(alone["rec"])
+            for i in part:
+                if i not in back:
+                    count = kinds.get(i, {"UNQUOTED VALUE"}) <= {"MISSING COLUMNS", "TOO MANY COLUMNS"}
+                    reasons[i] = "wrong_column_count" if count else "broken_quoting"
+        for i in tricky:  # DuckDB lets a quote inside an unquoted field and blanks after a closing quote pass
+            if reasons.get(i) != "broken_quoting" and not well_quoted(text[i], loader.delim):
+                reasons[i] = "broken_quoting"
+    rows = pd.concat(got, ignore_index=True).set_index("rec").reindex(range(len(text)))
+    rows["reason"] = [reasons.get(i) or ("invalid_value" if bad else None) for i, bad in enumerate(rows["unusable"].eq(True))]
+    rows.loc[rows["reason"].isin(["broken_quoting", "wrong_column_count"]), [*FIELDS, "created_at", "mrr_value"]] = None
+    return rows.reset_index(drop=True)
+
+
+def _scratch(folder: str | None) -> str:
+    """A folder of this task's own for the files DuckDB reads, removed with it: in the shared folder where it is mounted."""
+    return tempfile.mkdtemp(prefix="rejects-", dir=folder)
+
+
+def _load_batches(shared: str | None):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import duckdb
+
+        con = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
+        folder = _scratch(shared)
+        try:
+            for pdf in batches:
+                pdf = pdf[[isinstance(r, str) and r.strip() != "" for r in pdf["raw"]]]
+                for _, part in pdf.groupby(["export_id", "header", "delim"], sort=False, dropna=False):
+                    for k in range(0, len(part), SLICE):
+                        yield _finish(con, folder, part.iloc[k:k + SLICE])
+        finally:
+            con.close()
+            shutil.rmtree(folder, ignore_errors=True)
+
+    return run
 
 
 def _finish(con, folder: str, part: pd.DataFrame) -> pd.DataFrame:
     head, delim = part["header"].iloc[0], part["delim"].iloc[0]
     usable = isinstance(delim, str) and len(delim) == 1 and delim not in '"\r\n' and isinstance(head, str)
-    header = split_record(head.lstrip("﻿"), delim) if usable else None
-    at = bind(header) if header else {}
-    rows = []
-    if not {"id", "body", "client_ts"} <= at.keys():
-        rows = [("no_header", *[None] * len(FIELDS)) for _ in range(len(part))]
+    header = split_record(head.lstrip("\ufeff"), delim) if usable else None
+    if not header or not {"id", "body", "client_ts"} <= bind(header).keys():
+        out = pd.DataFrame({c: pd.Series([None] * len(part), dtype=object) for c in ("reason", *FIELDS, "created_at", "mrr_value")})
+        out["reason"] = "no_header"
     else:
-        for reason, fields in _load_slice(con, folder, part["raw"].tolist(), delim, header):
-            named = {f: fields[p] for f, p in at.items()} if fields is not None else {}
-            reason = reason or (None if valid_values(named) else "invalid_value")
-            rows.append((reason, *[named.get(f) for f in FIELDS]))
-    out = pd.DataFrame(rows, columns=["reason", *FIELDS], dtype=object)
-    out.insert(0, "rec_no", part["rec_no"].to_numpy())
-    out.insert(0, "export_id", part["export_id"].to_numpy())
-    return out
+        out = _load_slice(_Loader(con, folder, delim, header), part["raw"].tolist())
+    out["export_id"], out["rec_no"] = part["export_id"].to_numpy(), part["rec_no"].to_numpy()
+    out["created_at"] = pd.to_datetime(out["created_at"]).astype("datetime64[us]")
+    out["mrr_value"] = out["mrr_value"].astype("float64")
+    return out[["export_id", "rec_no", "reason", *FIELDS, "created_at", "mrr_value"]]
 
 
 def load_exports(raw: DataFrame, exports: DataFrame) -> DataFrame:
-    """(export_id, rec_no, reason, fields…): one row per record, reason null for the valid ones.
+    """(export_id, rec_no, reason, fields…, created_at, mrr_value): one row per record, reason null for the valid ones.
 
     Headers travel to the records by a join on export_id; a large export stays spread over the tasks that read it (AQE
     turns the join into a broadcast while the headers are few, and splits a skewed one otherwise).
@@ -193,7 +215,9 @@ def load_exports(raw: DataFrame, exports: DataFrame) -> DataFrame:
     known = exports.groupBy("export_id").agg(F.min("delim").alias("delim"))
     heads = header.join(known, "export_id", "full_outer")
     records = raw.filter(F.col("rec_no") != 0).select("export_id", "rec_no", "raw")
-    return records.join(heads, "export_id", "left").mapInPandas(_load_batches, OUTPUT)
+    where = shared_dir(raw.sparkSession)
+    mounted = where.removeprefix("file://") if where.startswith(("file:///", "/")) else None
+    return records.join(heads, "export_id", "left").mapInPandas(_load_batches(mounted), OUTPUT)
 
 
 def valid(loaded: DataFrame) -> DataFrame:
@@ -201,8 +225,8 @@ def valid(loaded: DataFrame) -> DataFrame:
     t = lambda c: F.expr(f"nullif(trim({c}), '')")
     return loaded.filter("reason IS NULL").select(
         "export_id", "rec_no", F.trim("id").alias("ticket_id"), F.col("body").alias("description"), t("external_id").alias("requester_id"),
-        F.to_timestamp(F.trim("client_ts"), "yyyy-MM-dd'T'HH:mm:ssX").alias("created_at"),
-        F.regexp_replace(t("mrr"), "[$€£,\\s]", "").try_cast("double").alias("mrr"), t("kind").alias("kind"), t("route").alias("route"),
+        F.timestamp_micros(F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', created_at)")).alias("created_at"),
+        F.col("mrr_value").alias("mrr"), t("kind").alias("kind"), t("route").alias("route"),
     )
 
 
