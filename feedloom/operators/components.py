@@ -8,17 +8,18 @@ from pyspark.sql import functions as F
 from feedloom.runtime import written
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(id, component): the smallest id of the component, for every id in an edge.
 
     Alternates hanging neighbours under the smallest neighbour and pointing them there (large-star and small-star), which
     needs a logarithmic number of rounds on chains and two on stars. Every round is a written table, so a lost executor
     costs one round at most. A hub's neighbours are grouped by a map-side minimum, never gathered into one row.
-    Null ids and self-links are ignored; repeated links count once; an empty table gives no rows.
+    The rounds go on until nothing changes, whatever their number. Null ids and self-links are ignored; repeated links count once; an empty table gives no rows.
     """
     e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u IS NOT NULL AND v IS NOT NULL AND u <> v")
     e = written(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "cc0")
-    for k in range(max_rounds):
+    k = 0
+    while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
         # large star: larger neighbours of u point to the smallest id around u
@@ -32,6 +33,6 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
         nxt = written(nxt, f"cc{k + 1}")
         if nxt.exceptAll(e).isEmpty() and e.exceptAll(nxt).isEmpty():
             break
-        e = nxt
+        e, k = nxt, k + 1
     out = e.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("id"), "component")
     return out.unionByName(out.select(F.col("component").alias("id"), "component")).distinct()

@@ -17,25 +17,38 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from feedloom.functions.scalars import DAY_US
+
 #: Buckets of the first level of the rank search keep this many leading binary digits of a value.
 BUCKET_BITS = 6
 
 
 def first_deliveries(df: DataFrame, keys: list[str], seq: str, arrival: str, carry: list[str]) -> DataFrame:
-    """One row per key: the delivery with the smallest seq. A hash aggregate with map-side combine, no window sort."""
+    """One row per key: the delivery with the smallest seq, combined on the map side first. Spark sorts for this aggregate, as it keeps structs; no window is needed."""
     carried = list(dict.fromkeys(c for c in [arrival, *carry] if c not in keys))
     order = F.struct(F.col(seq).alias("_s"), F.col(arrival).alias("_a"))
     packed = F.struct(*[F.col(c) for c in carried])
     return df.groupBy(*keys).agg(F.min_by(packed, order).alias("_r")).select(*keys, *[F.col(f"_r.{c}").alias(c) for c in carried])
 
 
+def utc_day(event: Column) -> Column:
+    """Days since 1970 in UTC, whatever the session's time zone."""
+    return F.floor(F.unix_micros(event) / F.lit(DAY_US)).cast("bigint")
+
+
+def day_key(event: Column) -> Column:
+    """The UTC day as yyyy-MM-dd, whatever the session's time zone."""
+    return F.date_from_unix_date(utc_day(event).cast("int")).cast("string")
+
+
 def fate(event: Column, arrival: Column, cutoff_days: int) -> Column:
     """on_time before the end of the UTC day of the event, correction up to the cut-off after it, dropped from then on."""
-    end = F.date_trunc("day", event) + F.expr("INTERVAL 1 DAY")
+    end = (utc_day(event) + 1) * DAY_US
+    at = F.unix_micros(arrival)
     return (
         F.when(event.isNull() | arrival.isNull(), "undated")
-        .when(arrival < end, "on_time")
-        .when(arrival < end + F.expr(f"INTERVAL {int(cutoff_days)} DAYS"), "correction")
+        .when(at < end, "on_time")
+        .when(at < end + int(cutoff_days) * DAY_US, "correction")
         .otherwise("dropped")
     )
 
@@ -45,7 +58,7 @@ def ledger(df: DataFrame, *, group: str = "project_id", record: str = "id", even
     """Every record's effect on its period: (group, record, period, fate, values)."""
     once = first_deliveries(df, [group, record], seq, arrival, [event, *values])
     return once.select(
-        group, record, F.date_format(event, "yyyy-MM-dd").alias("day"),
+        group, record, day_key(F.col(event)).alias("day"),
         F.when(F.col(record).isNull(), "undated").otherwise(fate(F.col(event), F.col(arrival), cutoff_days)).alias("fate"),
         *[c for c in values if c not in (group, record)],
     )

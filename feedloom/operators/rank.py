@@ -60,7 +60,7 @@ def explain(floor: int = GROWTH_FLOOR) -> Column:
         ", ", one("unique_users", "user"), one("submissions", "submission"), F.concat(F.lit("demand "), two("weighted_demand")),
         F.when(F.col("mean_weight") > 1.001, F.concat(F.lit("avg weight "), two("mean_weight"))),
         F.when(F.col("prior_users") < floor, F.format_string("growth n/a (only %d prior)", "prior_users"))
-        .otherwise(F.concat(F.lit("growth ×"), two("growth"), F.format_string(" (%d from %d)", "recent_users", "prior_users"))),
+        .otherwise(F.concat(F.lit("growth ×"), two("growth"), F.format_string(" (%d→ from %d)", "recent_users", "prior_users"))),
     )
 
 
