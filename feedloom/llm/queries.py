@@ -30,17 +30,27 @@ def _records(spark: SparkSession, sf: str) -> DataFrame:
     return once.unionByName(i.select(F.lit("inbox").alias("src"), "rec_id", "text"))
 
 
+#: Key of the pseudonyms in this demonstration; a deployment passes its own.
+DEMO_KEY = b"feedloom demonstration key"
+
+
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
-    return pii.items(_texts(spark, sf), ["src", "rec_id"], "text").distinct()
+    """One row per item that p2_redacted replaces."""
+    texts = _texts(spark, sf)
+    return pii.items(texts, ["src", "rec_id"], "text", DEMO_KEY, pii.learn_given(texts, "text")).select("src", "rec_id", "pii_kind", "nth").distinct()
 
 
-#: Key of the pseudonyms in this demonstration; a deployment passes its own.
-DEMO_KEY = b"feedloom demonstration key"
+def p2_items(spark: SparkSession, sf: str) -> DataFrame:
+    """How often each pseudonym stands for a value, over all texts: equal values are linked across documents."""
+    texts = _records(spark, sf)
+    found = pii.items(texts, ["src", "rec_id"], "text", DEMO_KEY, pii.learn_given(texts, "text"))
+    return found.groupBy("pii_kind", "pseudonym").agg(F.count("*").alias("n"), F.count_distinct("src", "rec_id").alias("records"))
 
 
 def p2_redacted(spark: SparkSession, sf: str) -> DataFrame:
     """Every text with typed placeholders and format-preserving pseudonyms."""
-    return _records(spark, sf).select("src", "rec_id", pii.redacted(F.col("text"), DEMO_KEY).alias("redacted"))
+    texts = _records(spark, sf)
+    return texts.select("src", "rec_id", pii.redacted(F.col("text"), DEMO_KEY, pii.learn_given(texts, "text")).alias("redacted"))
 
 
 def _one_text(spark: SparkSession, sf: str) -> DataFrame:
@@ -100,7 +110,7 @@ def p9_scores(spark: SparkSession, sf: str) -> DataFrame:
     return spam.page_scores(table(spark, sf, "documents")).select("doc_id", "n_words", F.round("share", 6).alias("share"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_redacted, p3_found, p3_groups, p6_found, p6_clusters, p7_found, p8_found, p8_mixture, p8_shares, p9_found, p9_scores)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_items, p2_redacted, p3_found, p3_groups, p6_found, p6_clusters, p7_found, p8_found, p8_mixture, p8_shares, p9_found, p9_scores)}
 
 SQL = {
     "p7_found": r"""WITH d AS (SELECT doc_id, regexp_extract_all(lower(regexp_replace(text, '</?[A-Za-z][^<>]*>|&(?:[A-Za-z]{2,8}|#x?[0-9A-Fa-f]{1,6});', ' ', 'g')), '[\p{L}\p{N}]+') AS w FROM documents),
