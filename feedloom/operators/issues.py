@@ -56,7 +56,7 @@ def build_issues(submissions: DataFrame, now: str, *, threshold: float = 0.25, m
     counts = vectors.term_counts(docs.select("id", "tokens"), F.col("tokens"), "id")
     idf = vectors.document_frequency(counts, docs.count())
     vecs = written(vectors.tfidf(counts, idf, "id"), "iss-vectors")
-    labels = consolidate.apply_merges(labels, consolidate.consolidate(vecs, labels, merge))
+    labels = consolidate.relabel(labels, consolidate.consolidate(vecs, labels, merge))
     members = written(labels.join(submissions, "id"), "iss-members")
 
     ranked = rank.rank(members.select("cluster_id", "user_id", "kind", "client_ts", "mrr", F.col("ingest_seq").alias("seq")), now)

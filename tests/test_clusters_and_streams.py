@@ -124,7 +124,7 @@ def test_merge_split_outlier(spark):
     m = {r.cluster_id: r.merged_id for r in consolidate.consolidate(v, l, 0.5).collect()}
     assert m == {"a": "a", "b": "a", "c": "c", "d": "d"}
     assert {r.merged_id for r in consolidate.consolidate(v, l, 0.0).collect()} == {"a"}
-    assert [r.key for r in consolidate.merge_proposals(consolidate.consolidate(v, l, 0.5)).collect()] == ["a+b"]
+    assert [r.key for r in consolidate.merge_proposals(v, l, 0.5).collect()] == ["a+b"]
     v, l = unit(spark, [("x", (1, 0)), ("x", (1, 0.05)), ("x", (0, 1)), ("x", (0.05, 1))])
     s = consolidate.split_proposals(v, l, 0.5)
     sides = {r.id: r.side for r in s.collect()}
