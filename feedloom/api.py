@@ -48,3 +48,15 @@ def ingest(spark: SparkSession, lines: DataFrame, stored: DataFrame, project_key
     rows = envelopes.to_submissions(parsed).withColumn("ingest_seq", F.monotonically_increasing_id())
     accepted, duplicate = store.split_new(rows, stored)
     return accepted, duplicate, parsed.filter("reason IS NOT NULL")
+
+
+# Routes and their methods.
+ROUTES = {"/health": ("GET",), "/v0/envelopes": ("POST", "OPTIONS"), "/v0/issues": ("GET",), "/v0/issue": ("GET",), "/v0/evidence": ("GET",)}
+
+
+def dispatch(requests: DataFrame) -> DataFrame:
+    """Requests (method, path, …) with their status: 200, 404 for an unknown route, 405 for another method."""
+    path = F.regexp_replace(F.regexp_replace(F.col("path"), r"[?#].*$", ""), "(?<=.)/+$", "")
+    known = F.create_map(*[x for p, m in ROUTES.items() for x in (F.lit(p), F.array(*[F.lit(k) for k in m]))])
+    allowed = F.try_element_at(known, path)
+    return requests.withColumn("status", F.when(allowed.isNull(), 404).when(~F.array_contains(allowed, F.upper("method")), 405).otherwise(200))

@@ -8,6 +8,16 @@ from pyspark.sql import functions as F
 DAY_US = 86_400_000_000
 
 
+def utc_day(ts: Column) -> Column:
+    """Days since 1970 in UTC, whatever the session's time zone."""
+    return F.floor(F.unix_micros(ts) / F.lit(DAY_US)).cast("bigint")
+
+
+def day_key(ts: Column) -> Column:
+    """The UTC day as yyyy-MM-dd, whatever the session's time zone."""
+    return F.date_from_unix_date(utc_day(ts).cast("int")).cast("string")
+
+
 def empty_to_null(c: Column) -> Column:
     return F.nullif(F.trim(c), F.lit(""))
 
@@ -29,7 +39,7 @@ def fallback_key(policy: str, record: Column, client_ts: Column) -> Column:
     if policy == "per-record":
         return F.concat(F.lit("r:"), record)
     if policy == "per-day":
-        return F.concat(F.lit("d:"), F.date_format(client_ts, "yyyy-MM-dd"))
+        return F.concat(F.lit("d:"), day_key(client_ts))
     return F.lit(None).cast("string") if policy == "error" else F.lit(policy)
 
 
@@ -63,3 +73,28 @@ def ulid_millis(ulid: Column) -> Column:
 
 def backoff_ceiling(attempt: Column, base_ms: int, cap_ms: int) -> Column:
     return F.least(F.lit(float(cap_ms)), F.lit(float(base_ms)) * F.pow(F.lit(2.0), attempt))
+
+
+def backoff_delay(attempt: Column, base_ms: int, cap_ms: int, jitter: Column) -> Column:
+    """Full jitter (0 … 1) of the ceiling, in whole milliseconds."""
+    return F.floor(jitter * backoff_ceiling(attempt, base_ms, cap_ms)).cast("bigint")
+
+
+def retry_after_ms(header: Column, now: Column) -> Column:
+    """A Retry-After header as milliseconds from now: seconds, or an HTTP date; never below 0; null if it is neither."""
+    t = F.trim(header)
+    # the name of the day is redundant, and Spark does not parse it
+    at = F.try_to_timestamp(F.regexp_replace(t, r"^[A-Za-z]{3}, | GMT$", ""), F.lit("dd MMM yyyy HH:mm:ss"))
+    wall = F.greatest(F.lit(0), F.floor((F.unix_micros(at) - F.unix_micros(now)) / 1000)).cast("bigint")
+    return F.when(t.rlike(r"^\d+$"), t.try_cast("bigint") * 1000).otherwise(wall)
+
+
+def retry_after_seconds(ms: Column) -> Column:
+    """Whole seconds for a header, at least one."""
+    return F.greatest(F.lit(1), F.ceil(ms / 1000)).cast("bigint")
+
+
+def csv_field(c: Column) -> Column:
+    """A value as a field of a CSV file: quoted if it holds a comma, a quote or a line break; null is empty."""
+    t = F.coalesce(c.cast("string"), F.lit(""))
+    return F.when(t.rlike('[",\\n]'), F.concat(F.lit('"'), F.replace(t, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(t)

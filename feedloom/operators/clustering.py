@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from feedloom.functions.text import top_content_word
+
 
 @dataclass
 class _Cluster:
@@ -114,3 +116,18 @@ def structural(platform: Column, route: Column, version: Column, ts: Column, day
     """Baseline label: platform, route, version and a bucket of days counted from the epoch."""
     bucket = F.floor(F.unix_micros(ts) / F.lit(86_400_000_000 * days)).cast("string")
     return F.concat(F.lit("st:"), structural_key(platform, route, version), F.lit("|"), bucket)
+
+
+def all_one(ids: DataFrame) -> DataFrame:
+    """Baseline: everything in one cluster."""
+    return ids.select("id", F.lit("c0").alias("label"))
+
+
+def all_singletons(ids: DataFrame) -> DataFrame:
+    """Baseline: every record a cluster of its own."""
+    return ids.select("id", F.col("id").cast("string").alias("label"))
+
+
+def structural_token(platform: Column, route: Column, version: Column, ts: Column, text: Column, days: int = 7) -> Column:
+    """Baseline label: the structural one and the text's longest content word."""
+    return F.concat(structural(platform, route, version, ts, days), F.lit("|"), top_content_word(text))

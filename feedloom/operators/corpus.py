@@ -53,3 +53,20 @@ def sweep(items: DataFrame, cells: list[dict], clusterer: Callable[..., DataFram
         rows.append(metrics.adjusted_rand(t).crossJoin(metrics.pairwise(t)).select(F.lit(k).alias("cell"), *said, "ari", "precision", "recall", "f1"))
     out = reduce(DataFrame.unionByName, rows).withColumn("degenerate", F.col("precision") < baseline_precision * (1 - tolerance))
     return out.orderBy("degenerate", F.desc("f1"), "cell")
+
+
+def evaluate(pairs: DataFrame, truth: str = "truth", predicted: str = "predicted") -> DataFrame:
+    """One row over all metrics: counts, adjusted Rand, pairwise and entropy measures."""
+    t = metrics.contingency(pairs, truth, predicted)
+    size = t.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("items"), F.count_distinct("truth").alias("true_clusters"), F.count_distinct("predicted").alias("predicted_clusters"))
+    return size.crossJoin(metrics.adjusted_rand(t)).crossJoin(metrics.pairwise(t)).crossJoin(metrics.v_measure(t))  # one row each
+
+
+def sweep_winner(cells: DataFrame) -> DataFrame:
+    """The best cell of (cell, hits, semantic_weight, threshold, degenerate): degenerate ones win only among themselves."""
+    return cells.orderBy(F.coalesce("degenerate", F.lit(False)), F.desc("hits"), "semantic_weight", "threshold", "cell").limit(1)
+
+
+def load(spark, path: str) -> dict[str, DataFrame]:
+    """items, clusters and pairs of a labelled corpus: three JSON documents in a folder, each an array of objects."""
+    return {name: spark.read.option("multiLine", True).json(f"{path.rstrip('/')}/{name}.json") for name in ("items", "clusters", "pairs")}

@@ -39,6 +39,56 @@ def hashing_embedding(tokens: Column, dimensions: int = 256) -> Column:
     return F.pandas_udf(run, "array<double>")(tokens)
 
 
+def parse_response(response: Column, expected: Column) -> Column:
+    """Vectors of an embeddings answer (JSON text) in order of index, scaled to unit length; null if their number, an index or a length does not fit."""
+    r = F.from_json(response, "data array<struct<index: int, embedding: array<double>>>")
+    rows = F.array_sort(F.coalesce(r["data"], F.array().cast("array<struct<index: int, embedding: array<double>>>")))
+    width = F.size(F.element_at(rows, 1)["embedding"])
+    right = (F.size(rows) == expected) & F.forall(F.arrays_zip(rows.alias("r"), F.sequence(F.lit(0), F.size(rows) - 1).alias("k")), lambda x: (x["r"]["index"] == x["k"]) & (F.size(x["r"]["embedding"]) == width) & (width > 0))
+
+    def unit(v: Column) -> Column:
+        n = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
+        return F.transform(v, lambda x: F.when(n > 0, x / n).otherwise(x))
+
+    return F.when(F.size(rows) == 0, F.when(expected == 0, F.array().cast("array<array<double>>"))).when(right, F.transform(rows, lambda x: unit(x["embedding"])))
+
+
+def oracle_embedding(label: Column, text: Column, noise: float = 0.0, dimensions: int = 64, seed: int = 1) -> Column:
+    """A unit vector drawn for the label, mixed with noise drawn for the text: what an embedder of that quality would give."""
+    def draw(what: str) -> np.ndarray:
+        v = np.random.default_rng([seed, _fnv(what), len(what)]).standard_normal(dimensions)
+        return v / np.linalg.norm(v)
+
+    def run(labels: pd.Series, texts: pd.Series) -> pd.Series:
+        out = []
+        for l, t in zip(labels, texts):
+            if l is None or t is None:
+                out.append(None)
+                continue
+            v = (1 - noise) * draw(f"label {l}") + noise * draw(f"text {t}")
+            out.append(v / max(np.linalg.norm(v), 1e-12))
+        return pd.Series(out)
+
+    return F.pandas_udf(run, "array<double>")(label, text)
+
+
+def resolve(settings: dict[str, str]) -> str:
+    """The embedder a configuration names: hashing, endpoint (needs its address and model), or none for anything unusable."""
+    kind = (settings.get("embedder") or "none").strip().lower()
+    if kind == "endpoint" and settings.get("url") and settings.get("model"):
+        return "endpoint"
+    return kind if kind == "hashing" else "none"
+
+
+def cache_statistics(texts: DataFrame, cache: DataFrame, model: str) -> DataFrame:
+    """(hits, misses, deduped) of with_cache(): texts found in the cache, distinct ones embedded, and repeats of those."""
+    known = cache.filter(F.col("model") == model).select("text").distinct().withColumn("known", F.lit(True))
+    per = texts.filter("text IS NOT NULL").groupBy("text").agg(F.count("*").alias("n")).join(known, "text", "left")
+    hit = F.coalesce("known", F.lit(False))
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("bigint"))
+    return per.agg(zero(F.sum(F.when(hit, F.col("n")))).alias("hits"), F.count_if(~hit).alias("misses"), zero(F.sum(F.when(~hit, F.col("n") - 1))).alias("deduped"))
+
+
 def with_cache(texts: DataFrame, cache: DataFrame, model: str, embed) -> tuple[DataFrame, DataFrame]:
     """(texts with vector, new cache rows): every distinct text is embedded once, those in the cache not at all.
 

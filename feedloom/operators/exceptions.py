@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from feedloom.functions.scalars import derived_id
+from feedloom.functions.scalars import day_key, derived_id
 from feedloom.functions.text import scrub_variable_data
 
 
@@ -41,4 +41,4 @@ def cluster_text(name: Column, message: Column, stack: Column) -> Column:
 
 def fallback_user(fp: Column, client_ts: Column) -> Column:
     """One key per defect and day."""
-    return F.concat(F.lit("x:"), fp, F.lit(":"), F.date_format(client_ts, "yyyy-MM-dd"))
+    return F.concat(F.lit("x:"), fp, F.lit(":"), day_key(client_ts))

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from feedloom.functions.scalars import DAY_US
+from feedloom.functions.scalars import DAY_US, day_key, utc_day
 
 #: Buckets of the first level of the rank search keep this many leading binary digits of a value.
 BUCKET_BITS = 6
@@ -31,16 +31,6 @@ def first_deliveries(df: DataFrame, keys: list[str], seq: str, arrival: str, car
     return df.groupBy(*keys).agg(F.min_by(packed, order).alias("_r")).select(*keys, *[F.col(f"_r.{c}").alias(c) for c in carried])
 
 
-def utc_day(event: Column) -> Column:
-    """Days since 1970 in UTC, whatever the session's time zone."""
-    return F.floor(F.unix_micros(event) / F.lit(DAY_US)).cast("bigint")
-
-
-def day_key(event: Column) -> Column:
-    """The UTC day as yyyy-MM-dd, whatever the session's time zone."""
-    return F.date_from_unix_date(utc_day(event).cast("int")).cast("string")
-
-
 def fate(event: Column, arrival: Column, cutoff_days: int) -> Column:
     """on_time before the end of the UTC day of the event, correction up to the cut-off after it, dropped from then on."""
     end = (utc_day(event) + 1) * DAY_US

@@ -24,3 +24,31 @@ def bounded(events: DataFrame, max_events: int = 100, max_bytes: int = 1_000_000
 
 def acknowledge(events: DataFrame, acks: DataFrame) -> DataFrame:
     return events.join(acks.select("client", "seq"), ["client", "seq"], "left_anti")
+
+
+def peek(events: DataFrame, limit: int) -> DataFrame:
+    """The oldest events of each client, at most limit."""
+    k = F.row_number().over(W.partitionBy("client").orderBy("seq"))
+    return events.withColumn("k", k).filter(F.col("k") <= limit).drop("k")
+
+
+BATCH, MAX_ATTEMPTS = 20, 4
+
+
+def batches(events: DataFrame, size: int = BATCH) -> DataFrame:
+    """Events with the number of the batch they are sent in, per client in order of seq."""
+    return events.withColumn("batch", F.floor((F.row_number().over(W.partitionBy("client").orderBy("seq")) - 1) / size).cast("int"))
+
+
+def flush_action(status: Column, attempt: Column, stripped: Column, size: Column) -> Column:
+    """What a client does after an answer: acknowledge, drop, disable, strip attachments, halve the batch, wait as told, retry, or keep for later.
+
+    status is null where there was no answer; attempt counts from 0.
+    """
+    last = attempt >= MAX_ATTEMPTS
+    return (
+        F.when(status.between(200, 299), "acknowledge").when(status.isin(401, 403), "disable")
+        .when((status == 413) & ~stripped, "strip").when((status == 413) & (size > 1), "halve").when(status == 413, "drop")
+        .when((status == 429) & ~last, "wait").when((status.isNull() | (status >= 500)) & ~last, "retry")
+        .when(status.isNull() | (status >= 500) | (status == 429), "keep").otherwise("drop")
+    )

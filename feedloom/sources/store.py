@@ -26,8 +26,9 @@ def read_jsonl(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(submissions, corrupt lines): lines that do not parse or lack a required field are set aside; ids count once."""
     how = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
     raw = spark.read.text(path).filter("trim(value) <> ''").select(F.from_json("value", schema.SUBMISSION + ", _corrupt string", how).alias("r")).select("r.*")
-    good = first_writes(required(raw.filter("_corrupt IS NULL").drop("_corrupt")))
-    return good, raw.filter("_corrupt IS NOT NULL").select("_corrupt")
+    whole = raw.filter("_corrupt IS NULL").drop("_corrupt")
+    lacking = whole.filter(F.greatest(*[F.col(c).isNull() for c in schema.REQUIRED])).select(F.to_json(F.struct(*whole.columns)).alias("_corrupt"))
+    return first_writes(required(whole)), raw.filter("_corrupt IS NOT NULL").select("_corrupt").unionByName(lacking)
 
 
 def append_jsonl(df: DataFrame, path: str) -> None:
