@@ -1,9 +1,9 @@
 """Delimited records loaded into typed columns, with the rejected ones and their reason beside them.
 
 Workers write the records of a file (or of a slice of a large one: the header is known, so a file is never one task's
-burden) to scratch CSV files of their own and read them with DuckDB. Its reject tables hold the line-level errors, which
+burden) to scratch CSV files, those of one delimiter and width together, and read them with DuckDB. Its reject tables hold the line-level errors, which
 are joined back to the raw records by line or file; the accepted rows carry their record number as a last field and come
-out typed. A record that a broken neighbour swallowed is read again, alone in a file. DuckDB is too lenient in two
+out typed. A record that a broken neighbour swallowed is read again among well quoted ones. DuckDB is too lenient in two
 places (a quote inside an unquoted field, blanks after a closing quote), so records that hold a quote or a bare line
 break, and only those, are also held against the grammar of RFC 4180.
 
@@ -18,8 +18,10 @@ import os
 import re
 import shutil
 import tempfile
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -86,86 +88,118 @@ def bind(header: list[str]) -> dict[str, int]:
 BLANKS = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
 
 _TYPED = """
-SELECT rec::INTEGER AS rec, {fields}, try_strptime(ts, '%Y-%m-%dT%H:%M:%SZ') AS created_at, try_cast(regexp_replace(trim({mrr}, $blanks), '[$€£,\\s]', '', 'g') AS DOUBLE) AS mrr_value,
-  NOT (regexp_full_match(trim({id}, $blanks), 'T-[0-9]+') AND trim({body}, $blanks) <> '' AND NOT contains({body}, chr(65533))
+SELECT rec, {fields}, try_strptime(ts, '%Y-%m-%dT%H:%M:%SZ') AS created_at, try_cast(regexp_replace(trim(coalesce("mrr", ''), $blanks), '[$€£,\\s]', '', 'g') AS DOUBLE) AS mrr_value,
+  NOT (regexp_full_match(trim("id", $blanks), 'T-[0-9]+') AND trim("body", $blanks) <> '' AND NOT contains("body", chr(65533))
     AND regexp_full_match(ts, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}T([01][0-9]|2[0-3]):[0-5][0-9]:[0-5][0-9]Z') AND left(ts, 4) <> '0000' AND created_at IS NOT NULL) AS unusable
-FROM (SELECT *, trim({client_ts}, $blanks) AS ts FROM {read})"""
+FROM (SELECT *, trim("client_ts", $blanks) AS ts FROM (
+  SELECT r.rec::INTEGER AS rec, {bound} FROM {read} r JOIN places p ON p.rec = r.rec::INTEGER))"""
 
 
 class _Loader:
-    """Reads the CSV files of one slice with DuckDB: typed rows, and the errors its reject tables hold."""
+    """Reads CSV files of one delimiter and width with DuckDB: typed rows, and the errors its reject tables hold.
 
-    def __init__(self, con, folder: str, delim: str, header: list[str]):
-        self.con, self.folder, self.delim, self.width = con, folder, delim, len(header)
-        self.at = bind(header)
+    places: the column of each field by record number (null: the file has none), as files differ in the order of columns.
+    """
+
+    def __init__(self, con, folder: str, delim: str, width: int, places: pd.DataFrame):
+        self.con, self.folder, self.delim, self.width, self.places = con, folder, delim, width, places
 
     def write(self, name: str, records: list[tuple[int, str]]) -> str:
         path = os.path.join(self.folder, name)
-        with open(path, "w", encoding="utf-8", errors="surrogatepass", newline="") as f:
-            f.writelines(f"{text}{self.delim}{i}\n" for i, text in records)
+        lines = [f"{text}{self.delim}{i}\n".encode("utf-8", "surrogatepass") for i, text in records]
+        with open(path, "wb") as f:
+            f.writelines(lines)
+        self.starts = list(accumulate(map(len, lines), initial=0))
         return path
 
-    def read(self, paths: list[str]) -> tuple[pd.DataFrame, list[tuple[str, int, str]]]:
-        """(typed rows by record number, rejects as (file, line, kind)). The files are removed."""
+    def read(self, name: str, records: list[tuple[int, str]]) -> tuple[pd.DataFrame | None, list[tuple[int, str]]]:
+        """Typed rows by record number, and rejects as (record number, kind): an error's byte position is in the record's line. The file is removed."""
+        import duckdb
+
+        path = self.write(name, records)
         quoted = lambda x: "'" + x.replace("'", "''") + "'"
         columns = ", ".join(f"'c{i}': 'VARCHAR'" for i in range(self.width)) + ", 'rec': 'VARCHAR'"
         read = (
-            f"read_csv([{', '.join(map(quoted, paths))}], delim={quoted(self.delim)}, quote='\"', escape='\"', header=false, auto_detect=false, columns={{{columns}}}, "
+            f"read_csv({quoted(path)}, delim={quoted(self.delim)}, quote='\"', escape='\"', header=false, auto_detect=false, columns={{{columns}}}, "
             "store_rejects=true, strict_mode=true, rejects_limit=0, max_line_size=16777216, parallel=false)"
         )
-        said = {f: f"coalesce(c{self.at[f]}, '')" if f in self.at else "''" for f in FIELDS}
-        fields = ", ".join(f"{said[f]} AS \"{f}\"" if f in self.at else f"NULL::VARCHAR AS \"{f}\"" for f in FIELDS)
-        rows = self.con.execute(_TYPED.format(read=read, fields=fields, **{f: said[f] for f in ("id", "body", "client_ts", "mrr")}), {"blanks": BLANKS}).df()
-        errors = self.con.execute("SELECT DISTINCT file_path, line, error_type FROM reject_errors JOIN reject_scans USING (scan_id, file_id)").fetchall()
+        every = "[" + ", ".join(f"coalesce(r.c{i}, '')" for i in range(self.width)) + "]"
+        sql = _TYPED.format(read=read, fields=", ".join(f'"{f}"' for f in FIELDS), bound=", ".join(f'list_extract({every}, p."{f}") AS "{f}"' for f in FIELDS))
+        self.con.register("places", self.places)
+        try:
+            rows = self.con.execute(sql, {"blanks": BLANKS}).df()
+        except duckdb.InvalidInputException:  # badly quoted files can bring its parser into a state it does not know
+            self.con.execute("DROP TABLE IF EXISTS reject_errors; DROP TABLE IF EXISTS reject_scans")
+            os.remove(path)
+            return None, []
+        errors = self.con.execute("SELECT DISTINCT line_byte_position, error_type FROM reject_errors").fetchall()
         self.con.execute("DROP TABLE IF EXISTS reject_errors; DROP TABLE IF EXISTS reject_scans")
-        for p in paths:
-            os.remove(p)
-        return rows, errors
+        os.remove(path)
+        return rows, [(records[min(bisect_right(self.starts, at - 1), len(records)) - 1][0], kind) for at, kind in errors]
 
 
 def _load_slice(loader: _Loader, raws: list[str]) -> pd.DataFrame:
-    """One row per record of a slice of one file: reason and typed fields.
+    """One row per record: reason and typed fields.
 
-    Records without a quote or bare line break go into one file, where an error's line is the record. Those with one may
-    swallow their neighbours: they are read together, and whatever does not come back is read again alone in a file, whose
-    errors are the record's. A quoted field that never ends is the one thing DuckDB neither returns nor reports.
+    Records without a quote or bare line break go into one file, where every error is the record's own. The others are read
+    together as they stand. There a broken record may swallow its neighbours and be blamed for their columns, so a quoting
+    error counts for a record that is badly quoted indeed, and whatever well quoted record does not come back is read
+    again among its like, where nothing is swallowed and every error is the record's own. A badly quoted record that is
+    neither returned rightly nor reported has a quoted field that never ends, or is one DuckDB lets pass.
     """
     text = [r[:-1] if r.endswith("\r") else r for r in raws]
-    tricky = [i for i, t in enumerate(text) if '"' in t or "\n" in t or "\r" in t]
-    hard = set(tricky)
-    plain = [i for i in range(len(text)) if i not in hard]
+    tricky = [(i, t) for i, t in enumerate(text) if '"' in t or "\n" in t or "\r" in t]
+    hard = {i for i, _ in tricky}
+    plain = [(i, t) for i, t in enumerate(text) if i not in hard]
     reasons: dict[int, str] = {}
     got = []
-    if plain:
-        rows, errors = loader.read([loader.write("plain.csv", [(i, text[i]) for i in plain])])
+
+    def read_clean(name: str, records: list[tuple[int, str]]) -> None:
+        rows, errors = loader.read(name, records)
+        if rows is None:  # the parser gave up on the file: halves, down to the record it cannot read
+            half = len(records) // 2
+            if half:
+                read_clean(name, records[:half])
+                read_clean(name, records[half:])
+            else:
+                reasons[records[0][0]] = "broken_quoting"
+            return
         got.append(rows)
-        reasons |= {plain[line - 1]: "wrong_column_count" for _, line, _ in errors}
+        reasons.update((i, "wrong_column_count") for i, _ in errors)
+
+    if plain:
+        read_clean("plain.csv", plain)
     if tricky:
-        rows, _ = loader.read([loader.write("quoted.csv", [(i, text[i]) for i in tricky])])
-        rows = rows[rows["rec"].isin(tricky) & ~rows["rec"].duplicated(keep=False)]
-        got.append(rows)
-        rest = sorted(hard - set(rows["rec"]))
-        for k in range(0, len(rest), 500):
-            part = rest[k:k + 500]
-            alone, errors = loader.read([loader.write(f"{i}.csv", [(i, text[i])]) for i in part])
-            got.append(alone)
-            kinds: dict[int, set[str]] = {}
-            for path, _, kind in errors:
-                kinds.setdefault(int(os.path.basename(path)[:-4]), set()).add(kind)
-            back = set(alone["rec"])
-            for i in part:
-                if i not in back:
-                    count = kinds.get(i, {"UNQUOTED VALUE"}) <= {"MISSING COLUMNS", "TOO MANY COLUMNS"}
-                    reasons[i] = "wrong_column_count" if count else "broken_quoting"
-        for i in tricky:  # DuckDB lets a quote inside an unquoted field and blanks after a closing quote pass
-            if reasons.get(i) != "broken_quoting" and not well_quoted(text[i], loader.delim):
-                reasons[i] = "broken_quoting"
-    rows = pd.concat(got, ignore_index=True).set_index("rec").reindex(range(len(text)))
+        broken = {i for i, t in tricky if not well_quoted(t, loader.delim)}
+        rows, errors = loader.read("quoted.csv", tricky)
+        reported = {i for i, kind in errors if kind == "UNQUOTED VALUE"}
+        silent = broken - reported  # a field that never ends, or one let pass
+        reasons |= dict.fromkeys(reported & broken, "broken_quoting") | dict.fromkeys(silent, "broken_quoting")
+        back: set[int] = set()
+        if rows is not None:
+            rows = rows[rows["rec"].isin(hard - broken) & ~rows["rec"].duplicated(keep=False)]
+            got.append(rows)
+            back = set(rows["rec"])
+        again = [(i, t) for i, t in tricky if i not in broken and i not in back]
+        if again:
+            read_clean("again.csv", again)
+    got.append(pd.DataFrame(columns=["rec", *FIELDS, "created_at", "mrr_value", "unusable"]))
+    rows = pd.concat([g for g in got if len(g)] or got[-1:], ignore_index=True).set_index("rec").reindex(range(len(text)))
     rows["reason"] = [reasons.get(i) or ("invalid_value" if bad else None) for i, bad in enumerate(rows["unusable"].eq(True))]
     rows.loc[rows["reason"].isin(["broken_quoting", "wrong_column_count"]), [*FIELDS, "created_at", "mrr_value"]] = None
     return rows.reset_index(drop=True)
 
 
+@lru_cache(maxsize=10_000)
+def _layout(head: str | None, delim: str | None) -> tuple[int, tuple[int | None, ...]] | None:
+    """Width and the column of each field (from 1) of a file with this header; None if it cannot be loaded."""
+    if not (isinstance(delim, str) and len(delim) == 1 and delim not in '"\r\n' and isinstance(head, str)):
+        return None
+    header = split_record(head.lstrip("\ufeff"), delim)
+    at = bind(header) if header else {}
+    return (len(header), tuple(at[f] + 1 if f in at else None for f in FIELDS)) if {"id", "body", "client_ts"} <= at.keys() else None
+
+
 def _scratch(folder: str | None) -> str:
     """A folder of this task's own for the files DuckDB reads, removed with it: in the shared folder where it is mounted."""
     return tempfile.mkdtemp(prefix="rejects-", dir=folder)
@@ -180,9 +214,19 @@ def _load_batches(shared: str | None):
         try:
             for pdf in batches:
                 pdf = pdf[[isinstance(r, str) and r.strip() != "" for r in pdf["raw"]]]
-                for _, part in pdf.groupby(["export_id", "header", "delim"], sort=False, dropna=False):
-                    for k in range(0, len(part), SLICE):
-                        yield _finish(con, folder, part.iloc[k:k + SLICE])
+                layouts = [_layout(h if isinstance(h, str) else None, d if isinstance(d, str) else None) for h, d in zip(pdf["header"], pdf["delim"])]
+                kind = pd.Series([None if x is None else (d, x[0]) for x, d in zip(layouts, pdf["delim"])], index=pdf.index, dtype=object)
+                bad = kind.isna()
+                if bad.any():
+                    yield _finished(pdf[bad], pd.DataFrame({"reason": ["no_header"] * int(bad.sum())}))
+                for (delim, width), where in kind[~bad].groupby(kind[~bad]).groups.items():
+                    picked = pdf.index.get_indexer(where)
+                    for k in range(0, len(picked), SLICE):
+                        rows = picked[k:k + SLICE]
+                        places = pd.DataFrame([layouts[i][1] for i in rows], columns=FIELDS, dtype="Int32")
+                        places.insert(0, "rec", range(len(rows)))
+                        part = pdf.iloc[rows]
+                        yield _finished(part, _load_slice(_Loader(con, folder, delim, width, places), part["raw"].tolist()))
         finally:
             con.close()
             shutil.rmtree(folder, ignore_errors=True)
@@ -190,19 +234,13 @@ def _load_batches(shared: str | None):
     return run
 
 
-def _finish(con, folder: str, part: pd.DataFrame) -> pd.DataFrame:
-    head, delim = part["header"].iloc[0], part["delim"].iloc[0]
-    usable = isinstance(delim, str) and len(delim) == 1 and delim not in '"\r\n' and isinstance(head, str)
-    header = split_record(head.lstrip("\ufeff"), delim) if usable else None
-    if not header or not {"id", "body", "client_ts"} <= bind(header).keys():
-        out = pd.DataFrame({c: pd.Series([None] * len(part), dtype=object) for c in ("reason", *FIELDS, "created_at", "mrr_value")})
-        out["reason"] = "no_header"
-    else:
-        out = _load_slice(_Loader(con, folder, delim, header), part["raw"].tolist())
-    out["export_id"], out["rec_no"] = part["export_id"].to_numpy(), part["rec_no"].to_numpy()
+def _finished(part: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+    out = rows.reindex(columns=["reason", *FIELDS, "created_at", "mrr_value"]).astype({f: object for f in ("reason", *FIELDS)})
+    out.insert(0, "export_id", part["export_id"].to_numpy())
+    out.insert(1, "rec_no", part["rec_no"].to_numpy())
     out["created_at"] = pd.to_datetime(out["created_at"]).astype("datetime64[us]")
     out["mrr_value"] = out["mrr_value"].astype("float64")
-    return out[["export_id", "rec_no", "reason", *FIELDS, "created_at", "mrr_value"]]
+    return out.where(out.notna(), None) if out.empty else out
 
 
 def load_exports(raw: DataFrame, exports: DataFrame) -> DataFrame:

@@ -51,6 +51,37 @@ def test_one_broken_record_among_many_spoils_no_other(spark):
     assert [i for i in range(300) if got[i + 1].reason] == [37] and got[39].body == "fine, here"
 
 
+def test_equals_the_grammar_on_random_records(spark):
+    import random
+
+    rng = random.Random(3)
+    pieces = ['a', '"', '""', ',', 'x y', '\n', '"q"', '"a,b"', ' ', 'T-1', '2026-05-13T16:17:54Z', '"c\r\nd"', "\r"]
+    records = []
+    for k in range(1500):
+        fields = [f"T-{k}", "c", "2026-05-13T16:17:54Z", "hello", "5", "bug", "/x"]
+        for _ in range(rng.choice([0, 1, 1, 2])):
+            fields[rng.randrange(7)] = "".join(rng.choices(pieces, k=rng.randrange(1, 5)))
+        if rng.random() < 0.1:
+            fields.pop(rng.randrange(7))
+        records.append(",".join(fields))
+    got = load(spark, records)
+
+    def reason(raw):
+        fields = rejects.split_record(raw, ",")
+        if fields is None:
+            return "broken_quoting"
+        if len(fields) != 7:
+            return "wrong_column_count"
+        ok = fields[0].strip() in {f"T-{k}" for k in range(1500)} and fields[3].strip() and fields[2].strip() == "2026-05-13T16:17:54Z"
+        return None if ok else "invalid_value"
+
+    for k, raw in enumerate(records):
+        if raw.strip():
+            assert got[k + 1].reason == reason(raw), raw
+            if got[k + 1].reason is None:
+                assert got[k + 1].body == rejects.split_record(raw, ",")[3]
+
+
 def test_typed(spark):
     df = spark.createDataFrame([("e", 0, HEAD), ("e", 1, "T-1,,2026-05-13T16:17:54Z,hello,\"$4,000\",,")], "export_id string, rec_no int, raw string")
     ex = spark.createDataFrame([("e", ",")], "export_id string, delim string")
