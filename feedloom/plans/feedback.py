@@ -74,11 +74,23 @@ def rank_unweighted(spark, sf):
     return _rank_columns(rank.rank(members(spark, sf), NOW, baseline=1e12))
 
 
-@query()
+def _ranked_with_weight() -> str:
+    return _ranked_sql("100").replace("count(*) AS unique_users,", "count(*) AS unique_users, avg(w) AS mean_weight, max(client_ts) AS newest, min(client_ts) AS oldest,", 1)
+
+
+@query(f"""WITH {_ranked_with_weight()} SELECT cluster_id, unique_users || CASE WHEN unique_users = 1 THEN ' user, ' ELSE ' users, ' END || submissions || CASE WHEN submissions = 1 THEN ' submission, ' ELSE ' submissions, ' END
+    || 'demand ' || printf('%.2f', demand) || CASE WHEN mean_weight > 1.001 THEN ', avg weight ' || printf('%.2f', mean_weight) ELSE '' END
+    || CASE WHEN prior_users < 3 THEN ', growth n/a (only ' || prior_users || ' prior)' ELSE ', growth ×' || printf('%.2f', least(recent_users / prior_users, 3)) || ' (' || recent_users || '→ from ' || prior_users || ')' END AS explanation FROM ranked""")
 def rank_explained(spark, sf):
     return rank.rank(members(spark, sf), NOW).select("cluster_id", rank.explain().alias("explanation"))
 
 
+@query(f"WITH {_ranked_with_weight()} SELECT cluster_id, round(mean_weight, 6) AS mean_weight, epoch_us(newest) AS newest_us, epoch_us(oldest) AS oldest_us FROM ranked")
+def rank_inputs(spark, sf):
+    """Mean weight, newest and oldest latest submissions behind each score."""
+    return rank.rank(members(spark, sf), NOW).select("cluster_id", r6("mean_weight").alias("mean_weight"), F.unix_micros("newest").alias("newest_us"), F.unix_micros("oldest").alias("oldest_us"))
+
+
 def _list_sql(baseline: str, name: str) -> str:
     return f"(WITH {_ranked_sql(baseline)} SELECT cluster_id, row_number() OVER (ORDER BY round(score, 9) DESC, cluster_id) AS {name} FROM ranked)"
 
@@ -183,10 +195,10 @@ def exact_match_groups(spark, sf):
     return facts(spark, sf).groupBy("project_id", label.alias("label")).agg(F.count("*").alias("n")).filter("n > 1")
 
 
-@query(f"""WITH w AS (SELECT item_id, list_filter(string_split({_NORM.format('text')}, ' '), lambda x: len(x) >= 3 AND x NOT IN ({_STOPS})) AS w FROM eval_items)
-  SELECT item_id, coalesce(list_reduce(list_prepend('', w), lambda a, b: CASE WHEN len(b) > len(a) THEN b ELSE a END), '') AS word FROM w""")
+@query(f"""WITH w AS (SELECT doc_id, list_filter(string_split({_NORM.format('text')}, ' '), lambda x: len(x) >= 3 AND x NOT IN ({_STOPS})) AS w FROM documents)
+  SELECT doc_id, coalesce(list_reduce(list_prepend('', w), lambda a, b: CASE WHEN len(b) > len(a) THEN b ELSE a END), '') AS word FROM w""")
 def top_content_word(spark, sf):
-    return table(spark, sf, "eval_items").select("item_id", text.top_content_word(F.col("text")).alias("word"))
+    return table(spark, sf, "documents").select("doc_id", text.top_content_word(F.col("text")).alias("word"))
 
 
 # --- text ---
@@ -223,11 +235,11 @@ def tokenize_terms(spark, sf):
     return _counts(spark, sf)
 
 
-@query(f"""WITH {_tokens_sql('eval_items', 'item_id', 'text')}, p AS (SELECT doc_id, ts, unnest(range(1, len(ts))) AS i FROM tok)
+@query(f"""WITH {_tokens_sql('documents', 'doc_id', 'text')}, p AS (SELECT doc_id, ts, unnest(range(1, len(ts))) AS i FROM tok)
   SELECT doc_id, ts[i] || '_' || ts[i + 1] AS pair, count(*) AS n FROM p GROUP BY 1, 2""")
 def bigram_terms(spark, sf):
     t = text.tokenize(F.col("text"), bigrams=True)
-    return table(spark, sf, "eval_items").select(F.col("item_id").alias("doc_id"), F.explode(t).alias("pair")).filter(F.instr("pair", "_") > 0).groupBy("doc_id", "pair").agg(F.count("*").alias("n"))
+    return table(spark, sf, "documents").select("doc_id", F.explode(t).alias("pair")).filter(F.instr("pair", "_") > 0).groupBy("doc_id", "pair").agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {_IDF} SELECT term, df, round(idf, 6) AS idf FROM idf")
@@ -236,14 +248,12 @@ def doc_frequency_idf(spark, sf):
     return vectors.document_frequency(_counts(spark, sf), n).select("term", "df", r6("idf").alias("idf"))
 
 
-@query(f"""WITH {_tokens_sql('eval_items', 'item_id', 'text')}, s AS (SELECT item_id AS doc_id, row_number() OVER (ORDER BY item_id) AS seq FROM eval_items),
-  x AS (SELECT seq, term, row_number() OVER (PARTITION BY term ORDER BY seq) AS df FROM tf JOIN s USING (doc_id))
+@query(f"""WITH {_DOCS}, s AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS seq FROM documents), x AS (SELECT seq, term, row_number() OVER (PARTITION BY term ORDER BY seq) AS df FROM tf JOIN s USING (doc_id))
   SELECT seq, term, df, round(ln(1 + seq / (1 + df)), 6) AS idf FROM x""")
 def idf_as_of(spark, sf):
-    from pyspark.sql import Window as W
-
-    items = table(spark, sf, "eval_items").select("item_id", F.row_number().over(W.orderBy("item_id")).cast("bigint").alias("seq"))  # a fixed table
-    seen = _counts(spark, sf, "eval_items", "item_id").join(items, F.col("doc_id") == F.col("item_id")).select("seq", "term")
+    """Document frequencies as of each document, in order of ids: positions from per-range counts, not from one window over all."""
+    seq = vectors.positions(table(spark, sf, "documents").select("doc_id"), "doc_id")
+    seen = _counts(spark, sf).join(seq, "doc_id").select("seq", "term")
     return vectors.idf_as_of(seen).select("seq", "term", "df", r6("idf").alias("idf"))
 
 
@@ -285,13 +295,24 @@ def medoid(spark, sf):
     return vectors.medoids(_vectors(spark, sf), labels).select("cluster_id", "doc_id", r6("cosine").alias("cosine"))
 
 
-@query("""WITH s AS (SELECT item_id, trim(text) AS t FROM eval_items), g AS (SELECT item_id, substr(t, i, 3) AS gram FROM (SELECT item_id, t, unnest(range(1, len(t) - 1)) AS i FROM s))
-  SELECT item_id, gram, count(*) AS n FROM g GROUP BY 1, 2""")
+@query("""WITH s AS (SELECT DISTINCT ticket_id, trim(description) AS t FROM inbox), g AS (SELECT ticket_id, CASE WHEN len(t) <= 3 THEN t ELSE substr(t, i, 3) END AS gram FROM (SELECT ticket_id, t, unnest(range(1, greatest(len(t) - 1, 2))) AS i FROM s WHERE len(t) > 0))
+  SELECT ticket_id, gram, count(*) AS n FROM g GROUP BY 1, 2""")
 def shingles(spark, sf):
-    return table(spark, sf, "eval_items").select("item_id", F.explode(text.shingles(F.col("text"))).alias("gram")).groupBy("item_id", "gram").agg(F.count("*").alias("n"))
+    once = table(spark, sf, "inbox").select("ticket_id", "description").distinct()
+    return once.select("ticket_id", F.explode(text.shingles(F.col("description"))).alias("gram")).groupBy("ticket_id", "gram").agg(F.count("*").alias("n"))
 
 
-@query()
+def _scrub_sql(x: str) -> str:
+    for pattern, mark in (
+        (r"(?i)\b[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\b", "<uuid>"), (r"(?i)\b[0-9a-f]{16,}\b", "<hash>"),
+        (r"\b\d{4}-\d{2}-\d{2}T\d{2}:\d{2}(?::\d{2}(?:\.\d+)?)?(?:Z|[+-]\d{2}:?\d{2})?", "<ts>"), (r"(?i)\b0x[0-9a-f]+\b", "<hex>"), (r"\b[A-Z]{1,5}-\d+\b", "<id>"),
+        (r"\b\d+(?:\.\d+)?((?:ms|s|kb|mb|gb|px|%)?)(?:\b|$)", r"<num>\1"),
+    ):
+        x = f"regexp_replace({x}, '{pattern}', '{mark}', 'g')"
+    return x
+
+
+@query(f"WITH {_FACTS} SELECT {_scrub_sql('body')} AS scrubbed, count(*) AS n FROM facts WHERE fingerprint IS NOT NULL GROUP BY 1")
 def scrubbed_messages(spark, sf):
     return facts(spark, sf).filter("fingerprint IS NOT NULL").select("id", text.scrub_variable_data(F.col("body")).alias("scrubbed")).groupBy("scrubbed").agg(F.count("*").alias("n"))
 
@@ -316,24 +337,44 @@ def _fingerprints(spark, sf):
     return table(spark, sf, "documents").select("doc_id", hashing.simhash(text.normalize(F.col("text"))).alias("fp"))
 
 
-@query()
+def _fold_sql(x: str, base: int, prime: int) -> str:
+    return _FNV.format(x).replace("2166136261", str(base)).replace("16777619", str(prime)).replace("::BIGINT", "::HUGEINT")
+
+
+_FP = f"""t AS (SELECT doc_id, {_NORM.format('text')} AS t FROM documents),
+  g AS (SELECT doc_id, CASE WHEN len(t) <= 3 THEN t ELSE substr(t, i, 3) END AS gram FROM (SELECT doc_id, t, unnest(range(1, greatest(len(t) - 1, 2))) AS i FROM t WHERE len(t) > 0)),
+  u AS (SELECT doc_id, gram, count(*) AS n FROM g GROUP BY 1, 2), h AS (SELECT gram, {_fold_sql('reverse(gram)', hashing.HIGH_BASE, hashing.HIGH_PRIME)} * 4294967296 + {_fold_sql('gram', hashing.LOW_BASE, hashing.LOW_PRIME)} AS h FROM (SELECT DISTINCT gram FROM u)),
+  b AS (SELECT doc_id, k, 2 * sum(CASE WHEN (h >> k) & 1 = 1 THEN n ELSE 0 END) > sum(n) AS one FROM u JOIN h USING (gram), (SELECT unnest(range(64))::HUGEINT AS k) GROUP BY 1, 2),
+  fp AS (SELECT doc_id, CASE WHEN text IS NULL THEN NULL ELSE coalesce(v, 0) END AS v FROM documents LEFT JOIN (SELECT doc_id, sum(CASE WHEN one THEN 1::HUGEINT << k ELSE 0 END) AS v FROM b GROUP BY 1) USING (doc_id))"""
+_NEAR = _FP + ", rep AS (SELECT v, min(doc_id) AS rep, count(*) AS copies FROM fp GROUP BY 1), near AS (SELECT x.rep AS a, y.rep AS b, bit_count(xor(x.v, y.v))::INT AS distance FROM rep x JOIN rep y ON x.rep < y.rep AND bit_count(xor(x.v, y.v)) <= 6)"
+
+
+@query(f"WITH {_FP} SELECT doc_id, (CASE WHEN v >= 9223372036854775808 THEN v - 18446744073709551616 ELSE v END)::BIGINT AS fp FROM fp")
 def simhash(spark, sf):
     return _fingerprints(spark, sf)
 
 
-@query()
+@query(f"WITH {_FP} SELECT doc_id, band::INT AS band, ((v >> (8 * band)) & 255)::BIGINT AS chunk FROM fp, (SELECT unnest(range(8))::HUGEINT AS band)")
 def lsh_bands(spark, sf):
     return lsh.bands(_fingerprints(spark, sf)).select("doc_id", "band", "chunk")
 
 
-@query()
+@query(f"WITH {_NEAR} SELECT a, b, distance FROM near")
 def hamming_pairs(spark, sf):
-    """All pairs of distinct fingerprints at most six bits apart."""
+    """All pairs of distinct fingerprints at most six bits apart, by the smallest document of each; fingerprint_members tells whom they stand for."""
     c = lsh.candidates(written(_fingerprints(spark, sf), "fp"), max_distance=6)
     return c.select("a", "b", hashing.hamming(F.col("fa"), F.col("fb")).alias("distance"))
 
 
-@query()
+@query(f"WITH {_FP} SELECT doc_id, min(doc_id) OVER (PARTITION BY v) AS representative, count(*) OVER (PARTITION BY v) AS copies FROM fp")
+def fingerprint_members(spark, sf):
+    """The document that stands for each document's fingerprint in hamming_pairs."""
+    fp = written(_fingerprints(spark, sf), "fp")
+    return fp.join(fp.groupBy("fp").agg(F.min("doc_id").alias("representative"), F.count("*").alias("copies")), "fp").select("doc_id", "representative", "copies")
+
+
+@query(f"""WITH RECURSIVE {_NEAR}, e AS (SELECT a AS x, b AS y FROM near UNION ALL SELECT b, a FROM near), reach AS (SELECT rep AS x, rep AS y FROM rep UNION SELECT reach.x, e.y FROM reach JOIN e ON e.x = reach.y),
+  comp AS (SELECT x AS rep, min(y) AS group_id, count(*) AS n FROM reach GROUP BY 1) SELECT fp.doc_id, comp.group_id FROM fp JOIN rep USING (v) JOIN comp USING (rep) WHERE comp.n > 1 OR rep.copies > 1""")
 def near_duplicate_groups(spark, sf):
     return lsh.near_duplicate_groups(written(_fingerprints(spark, sf), "fp"))
 
@@ -346,18 +387,16 @@ _COS = "list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[])"
 @query(f"SELECT q.vec_id AS query_id, e.vec_id, round({_COS}, 5) AS cosine FROM embeddings q, embeddings e WHERE q.vec_id % 20 = 0")
 def dense_cosine(spark, sf):
     """Every row whose id is divisible by 20 as a query against all rows."""
-    e = table(spark, sf, "embeddings")
-    q = maybe_broadcast(e.filter(F.col("vec_id") % 20 == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv")))
-    return e.join(q, F.lit(True)).select("query_id", "vec_id", F.round(vectors.dense_cosine(F.col("qv"), F.col("embedding")), 5).alias("cosine"))
+    e = table(spark, sf, "embeddings").select("vec_id", "embedding")
+    return vectors.all_cosines(e, e.filter(F.col("vec_id") % 20 == 0)).select("query_id", "vec_id", F.round("cosine", 5).alias("cosine"))
 
 
 @query(f"""SELECT query_id, vec_id, cosine FROM (SELECT q.vec_id AS query_id, e.vec_id, round({_COS}, 5) AS cosine, row_number() OVER (PARTITION BY q.vec_id ORDER BY round({_COS}, 5) DESC, e.vec_id) AS k
   FROM embeddings q, embeddings e WHERE q.vec_id % 20 = 0 AND q.vec_id <> e.vec_id) WHERE k <= 5""")
 def semantic_topk(spark, sf):
     """The five nearest rows of every query row (a top-k report)."""
-    c = dense_cosine(spark, sf).filter("query_id <> vec_id")
-    top = c.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("cosine")).alias("d"), "vec_id"))), 1, 5).alias("xs"))
-    return top.select("query_id", F.explode("xs").alias("x")).select("query_id", "x.vec_id", (-F.col("x.d")).alias("cosine"))
+    e = table(spark, sf, "embeddings").select("vec_id", "embedding")
+    return vectors.nearest(e, e.filter(F.col("vec_id") % 20 == 0), 5)
 
 
 @query("SELECT label, (i - 1)::INT AS dim, round(sum(embedding[i]::DOUBLE), 5) AS total, count(*) AS n FROM (SELECT label, embedding, unnest(range(1, 65)) AS i FROM embeddings) GROUP BY 1, 2")
@@ -375,9 +414,14 @@ def nearest_centroid(spark, sf):
     return d.groupBy("vec_id").agg(F.max_by(F.struct("center", "cosine"), F.struct("cosine", -F.col("center"))).alias("b")).select("vec_id", "b.center", "b.cosine")
 
 
-@query()
+@query(f"""WITH {_tokens_sql("(SELECT DISTINCT ticket_id, description FROM inbox)", "ticket_id", "description")}, x AS (SELECT doc_id, unnest(list_concat(ts, list_transform(range(1, len(ts)), lambda i: ts[i] || '_' || ts[i + 1]))) AS term FROM tok),
+  f AS (SELECT doc_id, ({_FNV.format('term')} % 256)::INT AS dim, CASE WHEN {_FNV.format("(term || '#')")} % 2 = 1 THEN 1 ELSE -1 END AS sign FROM x), v AS (SELECT doc_id, dim, sum(sign) AS s FROM f GROUP BY 1, 2)
+  SELECT doc_id AS ticket_id, dim, round(s / sqrt(sum(s * s) OVER (PARTITION BY doc_id)), 6) AS value FROM v QUALIFY s <> 0""")
 def hashing_embeddings(spark, sf):
-    return table(spark, sf, "eval_items").select("item_id", embed.hashing_embedding(text.tokenize(F.col("text"))).alias("vector"))
+    """The coordinates other than 0 of each ticket's hashing embedding."""
+    once = table(spark, sf, "inbox").select("ticket_id", "description").distinct()
+    v = once.select("ticket_id", embed.hashing_embedding(text.tokenize(F.col("description"))).alias("v"))
+    return v.select("ticket_id", F.posexplode("v").alias("dim", "value")).filter("value <> 0").select("ticket_id", "dim", r6("value").alias("value"))
 
 
 # --- redaction, exceptions ---
@@ -396,18 +440,60 @@ def _redact_rule(kind: str, sql_pattern: str):
 
 for _kind in ("apikey", "token", "email", "iban"):
     _redact_rule(_kind, next(r for r in redact.RULES if r.kind == _kind).pattern)
-for _kind in ("ssn", "card", "phone"):  # look-around and check digits: tested against brute force
-    _redact_rule(_kind, "")
+#: The same rules without look-around, for SQL: numbers with their excluded ranges spelled out, neighbours kept.
+_SSN_SQL = r"\b(?:00[1-9]|0[1-9]\d|[1-57-8]\d\d|6[0-57-9]\d|66[0-57-9])-(?:0[1-9]|[1-9]\d)-(?:000[1-9]|00[1-9]\d|0[1-9]\d\d|[1-9]\d{3})\b"
+_PHONE_SQL = r"(^|[^\d-])(?:\+\d{1,3}[ -]?)?(?:\(\d{3}\)|\d{3})[ -]\d{3}[ -]\d{4}($|[^\d-])"
+_redact_rule("ssn", _SSN_SQL)
+_redact_rule("card", "")  # check digits: tested against brute force
+_redact_rule("phone", "")
 
 
-@query()
+def _phone_sql(x: str) -> str:
+    for _ in range(2):  # two numbers may share a neighbour
+        x = f"regexp_replace({x}, '{_PHONE_SQL}', '\\1[redacted:phone]\\2', 'g')"
+    return x
+
+
+SQL["redact_phone"] = f"SELECT id, {_phone_sql('body')} AS text FROM (SELECT DISTINCT id, body FROM submissions)"
+
+
+def _card_sql(x: str) -> str:
+    """Numbers of 13 to 19 digits whose Luhn sum is a multiple of ten."""
+    digit = "substr(reverse(regexp_replace(m, '[ -]', '', 'g')), i, 1)::INT"
+    luhn = f"list_sum(list_transform(range(1, len(regexp_replace(m, '[ -]', '', 'g')) + 1), lambda i: CASE WHEN i % 2 = 1 THEN {digit} WHEN 2 * {digit} > 9 THEN 2 * {digit} - 9 ELSE 2 * {digit} END)) % 10 = 0"
+    found = f"list_filter(regexp_extract_all({x}, '(?:^|[^\\d-])((?:\\d[ -]?){{12,18}}\\d)(?:$|[^\\d-])', 1), lambda m: {luhn})"
+    return f"list_reduce(list_prepend({x}, {found}), lambda a, m: replace(a, m, '[redacted:card]'))"
+
+
+SQL["redact_card"] = f"SELECT id, {_card_sql('body')} AS text FROM (SELECT DISTINCT id, body FROM submissions)"
+
+
+def _redacted_sql(x: str) -> str:
+    for kind, pattern in [(r.kind, r.pattern) for r in redact.RULES if r.kind not in ("ssn", "card", "phone")] + [("ssn", _SSN_SQL)]:
+        x = f"regexp_replace({x}, '{pattern}', '[redacted:{kind}]', 'g')"
+    return _phone_sql(_card_sql(x))
+
+
+@query(f"SELECT ticket_id, {_redacted_sql('description')} AS text FROM (SELECT DISTINCT ticket_id, description FROM inbox)")
 def redact_all(spark, sf):
-    t = table(spark, sf, "inbox").select("ticket_id", "description").distinct().withColumn("text", redact.scan(F.col("description")))
-    return t.select("ticket_id", "text", redact.counts(F.col("text"), F.col("description")).alias("counts"))
+    return table(spark, sf, "inbox").select("ticket_id", "description").distinct().select("ticket_id", redact.scan(F.col("description")).alias("text"))
 
 
-@query()
+_COUNTED = ", ".join(f"sum((len(t) - len(replace(t, '[redacted:{r.kind}]', ''))) // len('[redacted:{r.kind}]') - (len(d) - len(replace(d, '[redacted:{r.kind}]', ''))) // len('[redacted:{r.kind}]'))::BIGINT AS n_{r.kind}" for r in redact.RULES)
+
+
+@query(f"SELECT {_COUNTED} FROM (SELECT description AS d, {_redacted_sql('description')} AS t FROM (SELECT DISTINCT ticket_id, description FROM inbox))")
+def redaction_counts(spark, sf):
+    """How many markers of each kind the scan adds."""
+    t = table(spark, sf, "inbox").select("ticket_id", "description").distinct()
+    c = t.select(redact.counts(redact.scan(F.col("description")), F.col("description")).alias("c"))
+    return c.agg(*[F.sum(f"c.{r.kind}").cast("bigint").alias(f"n_{r.kind}") for r in redact.RULES])
+
+
+@query(f"""WITH {_FACTS}, e AS (SELECT CASE WHEN instr(body, ':') > 0 THEN substr(body, 1, instr(body, ':') - 1) ELSE body END AS name, {_scrub_sql("ltrim(substr(body, instr(body, ':') + 1))")} AS scrubbed FROM facts WHERE fingerprint IS NOT NULL)
+  SELECT 'ex_' || substr(sha256(name || chr(0) || scrubbed), 1, 16) AS fp, name || ': ' || scrubbed AS text, count(*) AS n FROM e GROUP BY 1, 2""")
 def exception_groups(spark, sf):
+    """Machine messages by fingerprint; their stacks are not stored, so the messages stand for them."""
     e = facts(spark, sf).filter("fingerprint IS NOT NULL").withColumn("name", F.substring_index("body", ":", 1)).withColumn("message", F.ltrim(F.expr("substring(body, instr(body, ':') + 1)")))
     fp = exceptions.fingerprint(F.col("name"), F.col("message"), F.lit(None).cast("string"))
     return e.groupBy(fp.alias("fp"), exceptions.cluster_text(F.col("name"), F.col("message"), F.lit(None).cast("string")).alias("text")).agg(F.count("*").alias("n"))
@@ -473,7 +559,7 @@ def parse_mrr(spark, sf):
 @query()
 def import_inbox(spark, sf):
     """Tickets bound by alias and typed."""
-    i = table(spark, sf, "inbox").withColumnsRenamed({"description": "description"})
+    i = table(spark, sf, "inbox")
     return delimited.to_submissions(delimited.bind(i), "inbox").distinct()
 
 
@@ -555,23 +641,43 @@ def _ui_events(spark, sf):
     )
 
 
-@query()
+def _bursts_sql(events: str, need: str, ms: str) -> str:
+    """Greedy bursts per key of events (key, at_ms): from event i, all less than ms later; enough of them count once and are jumped over."""
+    return f"""ev AS ({events}), o AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY at_ms) AS i FROM ev),
+  nx AS (SELECT key, i, {need} AS need, (SELECT max(p.i) FROM o p WHERE p.key = o.key AND p.at_ms < o.at_ms + {ms}) AS j FROM o),
+  walk AS (SELECT key, 1::BIGINT AS i, 0 AS c FROM o WHERE i = 1 UNION ALL SELECT w.key, CASE WHEN nx.j - nx.i + 1 >= nx.need THEN nx.j + 1 ELSE nx.i + 1 END, w.c + CASE WHEN nx.j - nx.i + 1 >= nx.need THEN 1 ELSE 0 END FROM walk w JOIN nx ON nx.key = w.key AND nx.i = w.i),
+  counted AS (SELECT key, max(c)::INT AS bursts FROM walk GROUP BY 1)"""
+
+
+_AT = "epoch_us(ts) // 1000"
+_SIGNALS = f"""WITH RECURSIVE {_bursts_sql(f"SELECT user_id || '|' || event_type AS key, {_AT} AS at_ms, CASE WHEN event_type = 'view' THEN 4 ELSE 3 END AS n, CASE event_type WHEN 'view' THEN 10000 WHEN 'purchase' THEN 2000 ELSE 5000 END AS w FROM events WHERE event_type IN ('view', 'purchase', 'error')", "n", "o.w")},
+  clicks AS (SELECT user_id, {_AT} AS at_ms, value FROM events WHERE event_type = 'click'),
+  rage AS (SELECT DISTINCT c.user_id FROM clicks c WHERE (SELECT count(*) FROM clicks d WHERE d.user_id = c.user_id AND d.at_ms BETWEEN c.at_ms AND c.at_ms + 1000 AND abs(d.value - c.value) <= 30) >= 3),
+  s AS (SELECT user_id::VARCHAR AS session, coalesce(max(bursts) FILTER (event_type = 'view'), 0) AS nav_thrash, coalesce(max(bursts) FILTER (event_type = 'purchase'), 0) AS escape_mash, coalesce(max(bursts) FILTER (event_type = 'error'), 0) AS console_error_spike,
+    count(*) FILTER (event_type = 'signup')::INT AS reload, CASE WHEN bool_or(user_id IN (SELECT user_id FROM rage)) THEN NULL ELSE 0 END AS rage_click FROM events LEFT JOIN counted ON key = user_id || '|' || event_type GROUP BY 1)"""
+
+
+@query(_SIGNALS + " SELECT session, 0 AS dead_click, rage_click, 0 AS form_error_repeat, reload, console_error_spike, nav_thrash, escape_mash, 0 AS scroll_thrash FROM s")
 def frustration_signals(spark, sf):
     return bursts.frustration_signals(_ui_events(spark, sf))
 
 
-@query()
+@query(_SIGNALS + ", z AS (SELECT session, round(1 - exp(-(0.3 * rage_click + 0.2 * reload + 0.2 * console_error_spike + 0.15 * nav_thrash + 0.15 * escape_mash)), 4) AS score FROM s) SELECT session, score, score >= 0.5 AS prompt FROM z")
 def frustration_scores(spark, sf):
     s = bursts.frustration_signals(_ui_events(spark, sf)).withColumn("score", bursts.frustration_score())
     return s.select("session", "score", (F.col("score") >= bursts.PROMPT_AT).alias("prompt"))
 
 
-@query()
+@query(f"WITH RECURSIVE {_bursts_sql(f'SELECT user_id::VARCHAR AS key, {_AT} AS at_ms FROM events', '4', '3600000')} SELECT key, bursts FROM counted")
 def greedy_bursts(spark, sf):
     return bursts.greedy_bursts(_ui_events(spark, sf).select(F.col("session").alias("key"), "at_ms"), 4, 3_600_000)
 
 
-@query()
+@query(f"""WITH RECURSIVE o AS (SELECT user_id::VARCHAR AS key, {_AT} AS at_ms, event_id AS seq, row_number() OVER (PARTITION BY user_id ORDER BY {_AT}, event_id) AS i FROM events),
+  walk AS (SELECT key, at_ms, seq, i, [at_ms] AS hits, true AS allowed, 4 AS remaining, 0::BIGINT AS retry_after_ms FROM o WHERE i = 1
+    UNION ALL SELECT key, at_ms, seq, i, CASE WHEN full_ THEN kept ELSE list_append(kept, at_ms) END, NOT full_, CASE WHEN full_ THEN 0 ELSE 4 - len(kept) END, CASE WHEN full_ THEN greatest(1, kept[1] + 86400000 - at_ms) ELSE 0 END
+      FROM (SELECT o.*, list_filter(w.hits, lambda h: h > o.at_ms - 86400000) AS kept, len(list_filter(w.hits, lambda h: h > o.at_ms - 86400000)) >= 5 AS full_ FROM walk w JOIN o ON o.key = w.key AND o.i = w.i + 1))
+  SELECT key, at_ms, seq, allowed, remaining::INT AS remaining, retry_after_ms FROM walk""")
 def rate_limit_fold(spark, sf):
     return bursts.rate_limit(_ui_events(spark, sf).select(F.col("session").alias("key"), "at_ms", "seq"), 5, 86_400_000)
 
@@ -590,46 +696,69 @@ def leader_follower(spark, sf):
 
 
 def _clustered(spark, sf):
-    """Evaluation items with their topics as clusters, and their vectors: a fixed table."""
-    counts = _counts(spark, sf, "eval_items", "item_id").withColumnRenamed("doc_id", "id")
-    v = written(vectors.tfidf(counts, vectors.document_frequency(counts, table(spark, sf, "eval_items").count()), "id"), "cv")
-    return v, table(spark, sf, "eval_items").select(F.col("item_id").alias("id"), F.col("cluster").alias("cluster_id"))
+    """Documents with their sites as clusters, and their vectors."""
+    v = written(_vectors(spark, sf).withColumnRenamed("doc_id", "id"), "cv")
+    return v, table(spark, sf, "documents").filter("site IS NOT NULL").select(F.col("doc_id").alias("id"), F.col("site").alias("cluster_id"))
 
 
-_ITEMS = _tokens_sql("eval_items", "item_id", "text") + """, idf AS (SELECT term, ln(1 + (SELECT count(*) FROM eval_items) / (1 + count(*))) AS idf FROM tf GROUP BY 1), raw AS (SELECT doc_id, term, (1 + ln(tf)) * idf AS r FROM tf JOIN idf USING (term)),
-  vec AS (SELECT doc_id AS id, term, r / sqrt(sum(r * r) OVER (PARTITION BY doc_id)) AS w FROM raw), lab AS (SELECT item_id AS id, cluster AS cluster_id FROM eval_items)"""
+_SITES = _TFIDF.replace("vec AS (SELECT doc_id,", "vec AS (SELECT doc_id AS id,", 1) + """, lab AS (SELECT doc_id AS id, site AS cluster_id FROM documents WHERE site IS NOT NULL), n AS (SELECT cluster_id, count(*) AS n FROM lab GROUP BY 1),
+  sums AS (SELECT cluster_id, term, sum(w) AS s FROM vec JOIN lab USING (id) GROUP BY 1, 2)"""
+_MEANS = _SITES + """, own AS (SELECT cluster_id, id, sum(w * s) AS vs, sum(w * w) AS vv FROM vec JOIN lab USING (id) JOIN sums USING (cluster_id, term) GROUP BY 1, 2),
+  means AS (SELECT cluster_id, id, n, CASE WHEN n < 2 THEN 1 ELSE round((coalesce(vs, 0) - coalesce(vv, 0)) / (n - 1), 12) END AS m FROM lab JOIN n USING (cluster_id) LEFT JOIN own USING (cluster_id, id))"""
 
 
-@query(f"""WITH {_ITEMS}, m AS (SELECT x.cluster_id AS a, y.cluster_id AS b, sum(v.w * u.w) AS d FROM vec v JOIN lab x USING (id) JOIN vec u ON u.term = v.term JOIN lab y ON y.id = u.id WHERE x.cluster_id < y.cluster_id GROUP BY 1, 2),
-  n AS (SELECT cluster_id, count(*) AS n FROM lab GROUP BY 1) SELECT a, b, round(d / (p.n * q.n), 6) AS similarity FROM m JOIN n p ON p.cluster_id = a JOIN n q ON q.cluster_id = b""")
+@query(f"""WITH {_SITES}, m AS (SELECT x.cluster_id AS a, y.cluster_id AS b, sum(x.s * y.s) AS d FROM sums x JOIN sums y ON x.term = y.term AND x.cluster_id < y.cluster_id GROUP BY 1, 2)
+  SELECT a, b, round(d / (p.n * q.n), 6) AS similarity FROM m JOIN n p ON p.cluster_id = a JOIN n q ON q.cluster_id = b""")
 def linkage_average(spark, sf):
     v, labels = _clustered(spark, sf)
     return consolidate.linkage_table(v, labels).select("a", "b", r6("similarity").alias("similarity"))
 
 
-@query(f"""WITH {_ITEMS}, p AS (SELECT x.cluster_id, x.id AS i, y.id AS j FROM lab x JOIN lab y ON x.cluster_id = y.cluster_id AND x.id <> y.id), c AS (SELECT v.id AS i, u.id AS j, sum(v.w * u.w) AS d FROM vec v JOIN vec u ON u.term = v.term GROUP BY 1, 2),
-  n AS (SELECT cluster_id, count(*) AS n FROM lab GROUP BY 1) SELECT lab.cluster_id, lab.id, n.n, round(CASE WHEN n.n < 2 THEN 1 ELSE coalesce(sum(c.d), 0) / (n.n - 1) END, 6) AS mean_similarity FROM lab JOIN n USING (cluster_id) LEFT JOIN p ON p.i = lab.id LEFT JOIN c ON c.i = p.i AND c.j = p.j GROUP BY 1, 2, 3""")
+@query(f"WITH {_MEANS} SELECT cluster_id, id, n, round(m, 6) AS mean_similarity FROM means")
 def mean_similarity_to_rest(spark, sf):
     v, labels = _clustered(spark, sf)
     return consolidate.mean_to_rest(v, labels).select("cluster_id", "id", "n", r6("mean_similarity").alias("mean_similarity"))
 
 
-@query()
-def merge_proposals(spark, sf):
+@query(f"WITH {_MEANS} SELECT cluster_id, any_value(n) AS n, round(avg(m), 6) AS cohesion FROM means GROUP BY 1")
+def cohesion(spark, sf):
+    """Mean similarity within each cluster."""
     v, labels = _clustered(spark, sf)
-    return consolidate.merge_proposals(consolidate.consolidate(v, labels, 0.1))
+    return consolidate.self_linkage(v, labels).select("cluster_id", "n", r6("cohesion").alias("cohesion"))
 
 
-@query()
+@query(f"""WITH {_MEANS} SELECT cluster_id, id, round(m, 6) AS mean_similarity, 'outlier:' || cluster_id || ':' || id AS key FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY m, id) AS k FROM means WHERE n > 2 AND m < 0.02) WHERE k <= n - 2""")
+def outlier_proposals(spark, sf):
+    v, labels = _clustered(spark, sf)
+    return consolidate.outlier_proposals(v, labels, 0.02).select("cluster_id", "id", r6("mean_similarity").alias("mean_similarity"), "key")
+
+
+_POLES = _SITES + """, pr AS (SELECT x.cluster_id, x.id AS i, y.id AS j FROM lab x JOIN lab y ON x.cluster_id = y.cluster_id AND x.id < y.id), dots AS (SELECT l.cluster_id, v.id AS i, u.id AS j, sum(v.w * u.w) AS d FROM vec v JOIN lab l USING (id) JOIN vec u ON u.term = v.term JOIN lab k ON k.id = u.id AND k.cluster_id = l.cluster_id GROUP BY 1, 2, 3),
+  poles AS (SELECT cluster_id, i AS pole_a, j AS pole_b, round(coalesce(d, 0), 12) AS sim FROM pr LEFT JOIN dots USING (cluster_id, i, j) QUALIFY row_number() OVER (PARTITION BY cluster_id ORDER BY round(coalesce(d, 0), 12), i, j) = 1)"""
+
+
+@query(f"WITH {_POLES} SELECT cluster_id, pole_a, pole_b, round(sim, 6) AS similarity FROM poles")
+def diameter_pairs(spark, sf):
+    v, labels = _clustered(spark, sf)
+    return consolidate.diameter_pairs(v, labels).select("cluster_id", "pole_a", "pole_b", r6("similarity").alias("similarity"))
+
+
+@query(f"""WITH {_POLES}, side AS (SELECT l.cluster_id, l.id, CASE WHEN CASE WHEN l.id = pole_a THEN 1 ELSE round(coalesce(a.d, 0), 12) END >= CASE WHEN l.id = pole_b THEN 1 ELSE round(coalesce(b.d, 0), 12) END THEN 0 ELSE 1 END AS side FROM lab l JOIN poles USING (cluster_id) JOIN n USING (cluster_id)
+    LEFT JOIN dots a ON a.cluster_id = l.cluster_id AND a.i = l.id AND a.j = pole_a LEFT JOIN dots b ON b.cluster_id = l.cluster_id AND b.i = l.id AND b.j = pole_b WHERE n.n >= 4),
+  flip AS (SELECT cluster_id, arg_min(side, id) AS first FROM side GROUP BY 1), s2 AS (SELECT cluster_id, id, CASE WHEN side = first THEN 'a' ELSE 'b' END AS side FROM side JOIN flip USING (cluster_id)),
+  pp AS (SELECT x.cluster_id, x.side AS sx, y.side AS sy, coalesce(d, 0) AS d FROM s2 x JOIN s2 y ON x.cluster_id = y.cluster_id AND x.id < y.id LEFT JOIN dots ON dots.cluster_id = x.cluster_id AND dots.i = x.id AND dots.j = y.id),
+  q AS (SELECT cluster_id, avg(d) FILTER (sx <> sy) AS x, coalesce(avg(d) FILTER (sx = 'a' AND sy = 'a'), 1) AS wa, coalesce(avg(d) FILTER (sx = 'b' AND sy = 'b'), 1) AS wb FROM pp GROUP BY 1),
+  z AS (SELECT cluster_id, count(*) FILTER (side = 'a') AS na, count(*) FILTER (side = 'b') AS nb FROM s2 GROUP BY 1)
+  SELECT cluster_id, id, side, round(x, 6) AS "cross", round(wa, 6) AS within_a, round(wb, 6) AS within_b FROM s2 JOIN q USING (cluster_id) JOIN z USING (cluster_id) WHERE na >= 2 AND nb >= 2 AND round(x, 12) < 0.1 AND least(wa, wb) >= x + 0.005""")
 def split_proposals(spark, sf):
     v, labels = _clustered(spark, sf)
-    return consolidate.split_proposals(v, labels, 0.3).select("cluster_id", "id", "side", r6("cross").alias("cross"))
+    return consolidate.split_proposals(v, labels, 0.1, min_gain=0.005).select("cluster_id", "id", "side", *[r6(c).alias(c) for c in ("cross", "within_a", "within_b")])
 
 
 @query()
-def outlier_proposals(spark, sf):
+def merge_proposals(spark, sf):
     v, labels = _clustered(spark, sf)
-    return consolidate.outlier_proposals(v, labels, 0.25).select("cluster_id", "id", r6("mean_similarity").alias("mean_similarity"))
+    return consolidate.merge_proposals(v, labels, 0.1).select("key", r6("similarity").alias("similarity"), "size_a", "size_b")
 
 
 @query()
