@@ -54,13 +54,13 @@ def ledger(df: DataFrame, *, group: str = "project_id", record: str = "id", even
     )
 
 
-def multiset(ledger_df: DataFrame, value: str, group: str = "project_id") -> DataFrame:
-    """The state: (group, day, value, on_time, corrections), counts by value. Dropped and undated records change nothing."""
-    return (
-        ledger_df.filter(F.col("fate").isin("on_time", "correction"))
-        .groupBy(group, "day", F.col(value).alias("value"))
-        .agg(F.count_if(F.col("fate") == "on_time").alias("on_time"), F.count_if(F.col("fate") == "correction").alias("corrections"))
-    )
+def multiset(ledger_df: DataFrame, value: str, group: str = "project_id", dropped: bool = False) -> DataFrame:
+    """The state: (group, day, value, on_time, corrections), counts by value. Undated records change nothing, dropped ones only their own count, which is kept if dropped is set."""
+    known = ["on_time", "correction", *(["dropped"] if dropped else [])]
+    counts = [F.count_if(F.col("fate") == "on_time").alias("on_time"), F.count_if(F.col("fate") == "correction").alias("corrections")]
+    if dropped:
+        counts.append(F.count_if(F.col("fate") == "dropped").alias("dropped"))
+    return ledger_df.filter(F.col("fate").isin(*known)).groupBy(group, "day", F.col(value).alias("value")).agg(*counts)
 
 
 def fold(state: DataFrame, delta: DataFrame, group: str = "project_id") -> DataFrame:

@@ -11,7 +11,9 @@ from feedloom.runtime import table
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
-    return le.ledger(table(spark, sf, "submissions")).filter(F.col("fate").isin("correction", "dropped")).select("project_id", "id", "day", "fate")
+    """Late submissions, read off the state whose values are the ids; it is partitioned like the ledger, so it costs no shuffle."""
+    state = le.multiset(le.ledger(table(spark, sf, "submissions")), "id", dropped=True).filter("corrections > 0 OR dropped > 0")
+    return state.select("project_id", F.col("value").alias("id"), "day", F.when(F.col("corrections") > 0, "correction").otherwise("dropped").alias("fate"))
 
 
 def p1_daily(spark: SparkSession, sf: str) -> DataFrame:
@@ -72,6 +74,22 @@ ledger AS (
     strftime(client_ts AT TIME ZONE 'UTC', '%Y-%m-%d') AS day
   FROM first)"""
 
+def _alias_sql(field: str) -> str:
+    return "coalesce(" + ", ".join(f"nullif(list_position(names, '{a}'), 0)" for a in rejects.ALIASES[field]) + ")"
+
+
+#: The grammar of a record under the export's delimiter d; every field is matched with the delimiter before it, so none is empty.
+_P4 = f"""WITH const AS (SELECT '{rejects.BLANKS}' AS blanks), x AS (SELECT export_id, rec_no, regexp_replace(raw, '\\r$', '') AS raw, delim, regexp_escape(delim) AS d FROM inbox_raw JOIN inbox_exports USING (export_id)),
+  f AS (SELECT *, regexp_full_match(delim || raw, '(?s)(?:' || d || '(?:"(?:[^"]|"")*"|[^"' || d || '\\r\\n]*))+') AS valid,
+    list_transform(regexp_extract_all(delim || raw, '(?s)' || d || '("(?:[^"]|"")*"|[^"' || d || '\\r\\n]*)', 1), lambda c: CASE WHEN c LIKE '"%' THEN replace(substr(c, 2, len(c) - 2), '""', '"') ELSE c END) AS cells FROM x),
+  h AS (SELECT export_id, list_transform(cells, lambda c: lower(trim(replace(c, chr(65279), ''), blanks))) AS names FROM f, const WHERE rec_no = 0),
+  g AS (SELECT export_id, len(names) AS width, {", ".join(f"{_alias_sql(k)} AS p_{k}" for k in ("id", "body", "client_ts", "external_id", "mrr", "kind", "route"))} FROM h),
+  r AS (SELECT f.*, g.width, coalesce(cells[p_id], '') AS id, coalesce(cells[p_body], '') AS body, coalesce(cells[p_client_ts], '') AS ts, coalesce(cells[p_external_id], '') AS who, coalesce(cells[p_mrr], '') AS mrr, coalesce(cells[p_kind], '') AS kind, coalesce(cells[p_route], '') AS route
+    FROM f JOIN g USING (export_id), const WHERE rec_no <> 0 AND trim(raw, blanks) <> ''),
+  judged AS (SELECT r.*, CASE WHEN NOT valid THEN 'broken_quoting' WHEN len(cells) <> width THEN 'wrong_column_count'
+    WHEN regexp_full_match(trim(id, blanks), 'T-[0-9]+') AND trim(body, blanks) <> '' AND NOT contains(body, chr(65533)) AND regexp_full_match(trim(ts, blanks), '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}T([01][0-9]|2[0-3]):[0-5][0-9]:[0-5][0-9]Z')
+      AND try_cast(left(trim(ts, blanks), 10) AS DATE) IS NOT NULL AND left(trim(ts, blanks), 4) <> '0000' THEN NULL ELSE 'invalid_value' END AS reason FROM r, const)"""
+
 SQL = {
     "p1_found": f"WITH {_FIRST} SELECT project_id, id, day, fate FROM ledger WHERE fate <> 'on_time'",
     "p1_daily": f"""WITH {_FIRST} SELECT project_id, day, count(*) FILTER (fate = 'on_time') AS submissions_on_time, count(*) AS submissions_corrected,
@@ -79,4 +97,7 @@ SQL = {
         FROM ledger WHERE fate <> 'dropped' GROUP BY 1, 2""",
     "p1_delay_statistics": f"""WITH {_FIRST}, d AS (SELECT project_id, day, (floor(epoch(received_at)) - floor(epoch(client_ts)))::BIGINT AS v FROM ledger WHERE fate <> 'dropped')
         SELECT project_id, day, count(*) AS n, min(v) AS lo, median(v)::DOUBLE AS median, max(v) AS hi FROM d GROUP BY 1, 2""",
+    "p4_found": _P4 + """ SELECT export_id, rec_no, reason FROM judged WHERE reason IS NOT NULL""",
+    "p4_tickets": _P4 + """, v AS (SELECT export_id, rec_no, trim(id) AS ticket_id, body AS description, nullif(trim(who), '') AS requester_id, strptime(trim(ts, blanks), '%Y-%m-%dT%H:%M:%SZ') AS created, mrr, nullif(trim(kind), '') AS kind, nullif(trim(route), '') AS route FROM judged, const WHERE reason IS NULL)
+        SELECT export_id, rec_no, ticket_id, description, requester_id, timezone('UTC', created) AS created_at, try_cast(regexp_replace(trim(mrr), '[$€£,\\s]', '', 'g') AS DOUBLE) AS mrr, kind, route FROM v""",
 }
