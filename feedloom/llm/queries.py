@@ -112,7 +112,17 @@ def p9_scores(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p2_found, p2_items, p2_redacted, p3_found, p3_groups, p6_found, p6_clusters, p7_found, p8_found, p8_mixture, p8_shares, p9_found, p9_scores)}
 
+_RECORDS = """r AS (SELECT id AS rec, body AS text FROM submissions WHERE id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY ingest_seq) = 1 UNION ALL SELECT ticket_id, min(description) FROM inbox WHERE ticket_id IS NOT NULL GROUP BY 1)"""
+
 SQL = {
+    # words ordered by rarity; two sets that share four fifths of their union share a word of their first n - ceil(0.8 n) + 1
+    "p3_found": f"""WITH {_RECORDS}, s AS (SELECT rec, list_distinct(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+')) AS ws FROM r), k AS (SELECT rec, ws, len(ws) AS n FROM s WHERE len(ws) >= 20),
+        w AS (SELECT rec, n, unnest(ws) AS w FROM k), df AS (SELECT w, count(*) AS df FROM w GROUP BY 1), p AS (SELECT rec, n, w FROM (SELECT rec, n, w, row_number() OVER (PARTITION BY rec ORDER BY df, w) AS pos FROM w JOIN df USING (w)) WHERE pos <= n - (4 * n + 4) // 5 + 1),
+        c AS (SELECT DISTINCT x.rec AS a, y.rec AS b FROM p x JOIN p y ON x.w = y.w AND x.rec < y.rec AND 5 * x.n >= 4 * y.n AND 5 * y.n >= 4 * x.n)
+        SELECT a AS rec_a, b AS rec_b FROM c JOIN k x ON x.rec = a JOIN k y ON y.rec = b WHERE 5 * len(list_intersect(x.ws, y.ws)) >= 4 * (x.n + y.n - len(list_intersect(x.ws, y.ws)))""",
+    # the margins are wide: characters stand for tokens
+    "p8_found": """WITH u AS (SELECT source, sum(n) AS supply FROM (SELECT DISTINCT source, text, len(text) AS n FROM documents WHERE text IS NOT NULL AND source IS NOT NULL) GROUP BY 1)
+        SELECT source FROM mix_targets LEFT JOIN u USING (source) WHERE coalesce(target_share, 0) * (SELECT sum(len(text)) FROM documents) > coalesce(supply, 0) * greatest(coalesce(max_repeats, 1), 0)""",
     "p7_found": r"""WITH d AS (SELECT doc_id, regexp_extract_all(lower(regexp_replace(text, '</?[A-Za-z][^<>]*>|&(?:[A-Za-z]{2,8}|#x?[0-9A-Fa-f]{1,6});', ' ', 'g')), '[\p{L}\p{N}]+') AS w FROM documents),
         i AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM eval_items),
         ds AS (SELECT doc_id, array_to_string(w[k:k+12], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS k FROM d)),
