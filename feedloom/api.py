@@ -50,13 +50,16 @@ def ingest(spark: SparkSession, lines: DataFrame, stored: DataFrame, project_key
     return accepted, duplicate, parsed.filter("reason IS NOT NULL")
 
 
-# Routes and their methods.
-ROUTES = {"/health": ("GET",), "/v0/envelopes": ("POST", "OPTIONS"), "/v0/issues": ("GET",), "/v0/issue": ("GET",), "/v0/evidence": ("GET",)}
+# Routes below the version, and their method. A star stands for one id.
+ROUTES = {"health": "GET", "ingest": "POST", "issues": "GET", "issues/*": "GET", "issues/*/submissions": "GET"}
 
 
 def dispatch(requests: DataFrame) -> DataFrame:
-    """Requests (method, path, …) with their status: 200, 404 for an unknown route, 405 for another method."""
-    path = F.regexp_replace(F.regexp_replace(F.col("path"), r"[?#].*$", ""), "(?<=.)/+$", "")
-    known = F.create_map(*[x for p, m in ROUTES.items() for x in (F.lit(p), F.array(*[F.lit(k) for k in m]))])
-    allowed = F.try_element_at(known, path)
-    return requests.withColumn("status", F.when(allowed.isNull(), 404).when(~F.array_contains(allowed, F.upper("method")), 405).otherwise(200))
+    """Requests (method, path, …) with their route and status: 200, 404 where there is none, 405 for another method."""
+    parts = F.filter(F.split(F.regexp_replace(F.coalesce("path", F.lit("")), r"[?#].*$", ""), "/"), lambda s: s != "")
+    rest = F.slice(parts, 2, 1000)
+    shape = F.array_join(F.transform(rest, lambda s, i: F.when(i == 1, "*").otherwise(s)), "/")
+    known = F.create_map(*[x for p, m in ROUTES.items() for x in (F.lit(p), F.lit(m))])
+    route = F.when((F.element_at(parts, 1) == "v0") & F.map_contains_key(known, shape), shape)
+    out = requests.withColumn("parts_", parts).withColumn("route", F.when(F.size("parts_") > 0, route)).drop("parts_")
+    return out.withColumn("status", F.when(F.col("route").isNull(), 404).when(F.upper(F.coalesce("method", F.lit(""))) != F.element_at(known, F.col("route")), 405).otherwise(200))

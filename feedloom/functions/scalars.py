@@ -84,8 +84,8 @@ def retry_after_ms(header: Column, now: Column) -> Column:
     """A Retry-After header as milliseconds from now: seconds, or an HTTP date; never below 0; null if it is neither."""
     t = F.trim(header)
     # the name of the day is redundant, and Spark does not parse it
-    at = F.try_to_timestamp(F.regexp_replace(t, r"^[A-Za-z]{3}, | GMT$", ""), F.lit("dd MMM yyyy HH:mm:ss"))
-    wall = F.greatest(F.lit(0), F.floor((F.unix_micros(at) - F.unix_micros(now)) / 1000)).cast("bigint")
+    at = F.try_to_timestamp(F.regexp_replace(F.regexp_replace(t, r"^[A-Za-z]{3}, ", ""), " GMT$", "Z"), F.lit("dd MMM yyyy HH:mm:ssX"))
+    wall = F.when(at.isNotNull(), F.greatest(F.lit(0), F.floor((F.unix_micros(at) - F.unix_micros(now)) / 1000)).cast("bigint"))
     return F.when(t.rlike(r"^\d+$"), t.try_cast("bigint") * 1000).otherwise(wall)
 
 

@@ -11,6 +11,7 @@ import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,18 +21,12 @@ from feedloom.functions.text import top_content_word
 
 @dataclass
 class _Cluster:
-    sums: dict[str, float] = field(default_factory=dict)
     size: int = 0
     dense: list[float] | None = None
     dense_n: int = 0
     keys: dict[str, int] = field(default_factory=dict)
-    norm2: float = 0.0
 
-    def add(self, vec: dict[str, float], key: str, dense) -> None:
-        for t, w in vec.items():
-            old = self.sums.get(t, 0.0)
-            self.sums[t] = old + w
-            self.norm2 += 2 * old * w + w * w
+    def add(self, key: str, dense) -> None:
         self.size += 1
         self.keys[key] = self.keys.get(key, 0) + 1
         if dense is not None:
@@ -39,14 +34,40 @@ class _Cluster:
             self.dense_n += 1
 
 
+class _Postings:
+    """A term's clusters and its weight in the sum of each, as arrays that grow."""
+
+    __slots__ = ("ids", "sums", "n", "at")
+
+    def __init__(self) -> None:
+        self.ids, self.sums, self.n, self.at = np.zeros(4, np.int64), np.zeros(4), 0, {}
+
+    def add(self, cluster: int, w: float) -> float:
+        """Adds to a cluster's weight and returns what it was."""
+        k = self.at.get(cluster)
+        if k is None:
+            if self.n == len(self.ids):
+                self.ids, self.sums = np.resize(self.ids, 2 * self.n), np.concatenate([self.sums, np.zeros(self.n)])
+            k = self.at[cluster] = self.n
+            self.ids[k], self.n = cluster, self.n + 1
+        old = float(self.sums[k])
+        self.sums[k] = old + w
+        return old
+
+
 class Leader:
-    """State of one project's clustering. With idf=None the idf is that of the moment of arrival."""
+    """State of one project's clustering. With idf=None the idf is that of the moment of arrival.
+
+    The clusters' sums are kept by term (an inverted index), so a record is held against all clusters it shares a term
+    with by one array operation per term.
+    """
 
     def __init__(self, threshold: float, structural_bonus: float = 0.0, semantic_weight: float = 0.0, idf: dict[str, float] | None = None):
         self.threshold, self.bonus, self.semantic = threshold, structural_bonus, min(max(semantic_weight, 0.0), 1.0)
         self.idf = idf
         self.clusters: list[_Cluster] = []
-        self.index: dict[str, set[int]] = {}
+        self.index: dict[str, _Postings] = {}
+        self.norm2 = np.zeros(16)
         self.df: dict[str, int] = {}
         self.n = 0
 
@@ -62,36 +83,64 @@ class Leader:
         length = math.sqrt(sum(w * w for w in raw.values()))
         return {t: w / length for t, w in raw.items()} if length else raw
 
+    def _lexical(self, vec: dict[str, float]) -> np.ndarray:
+        """Cosine to every cluster's sum."""
+        dots = np.zeros(len(self.clusters))
+        for t, w in vec.items():
+            p = self.index.get(t)
+            if p is not None:
+                dots[p.ids[:p.n]] += w * p.sums[:p.n]
+        norm2 = self.norm2[:len(dots)]
+        return np.divide(dots, np.sqrt(norm2), out=np.zeros(len(dots)), where=norm2 > 0)
+
     def assign(self, tokens: list[str], key: str = "", dense=None) -> tuple[int, float]:
         """(cluster number, similarity); a founder's similarity is 0."""
         vec = self.vectorise(tokens)
-        reach = range(len(self.clusters)) if self.bonus or self.semantic or self.threshold <= 0 else sorted({c for t in vec for c in self.index.get(t, ())})
         best, best_score = -1, -1.0
-        for c in reach:
-            cl = self.clusters[c]
-            score = sum(w * cl.sums.get(t, 0.0) for t, w in vec.items()) / math.sqrt(cl.norm2) if cl.norm2 > 0 else 0.0
-            signal = bool(vec)
-            if self.semantic and dense is not None and cl.dense is not None:
-                d = sum(a * b for a, b in zip(dense, cl.dense))
-                nn = math.sqrt(sum(a * a for a in dense)) * math.sqrt(sum(b * b for b in cl.dense))
-                score = (1 - self.semantic) * score + self.semantic * (d / nn if nn else 0.0)
-                signal = True
-            if self.bonus:
-                score += self.bonus * cl.keys.get(key, 0) / cl.size
-            if signal and score > best_score:
-                best, best_score = c, score
+        scores = self._lexical(vec)
+        if not self.bonus and not self.semantic:
+            if vec and len(scores):
+                best = int(np.argmax(scores))  # the first of equals
+                best_score = float(scores[best])
+        else:
+            for c, cl in enumerate(self.clusters):
+                score, signal = float(scores[c]), bool(vec)
+                if self.semantic and dense is not None and cl.dense is not None:
+                    d = sum(a * b for a, b in zip(dense, cl.dense))
+                    nn = math.sqrt(sum(a * a for a in dense)) * math.sqrt(sum(b * b for b in cl.dense))
+                    score = (1 - self.semantic) * score + self.semantic * (d / nn if nn else 0.0)
+                    signal = True
+                if self.bonus:
+                    score += self.bonus * cl.keys.get(key, 0) / cl.size
+                if signal and score > best_score:
+                    best, best_score = c, score
         if best < 0 or best_score < self.threshold:
             self.clusters.append(_Cluster())
             best, best_score = len(self.clusters) - 1, 0.0
-        self.clusters[best].add(vec, key, dense)
-        for t in vec:
-            self.index.setdefault(t, set()).add(best)
+            if best == len(self.norm2):
+                self.norm2 = np.concatenate([self.norm2, np.zeros(best)])
+        self.clusters[best].add(key, dense)
+        grown = 0.0
+        for t, w in vec.items():
+            old = self.index.setdefault(t, _Postings()).add(best, w)
+            grown += 2 * old * w + w * w
+        self.norm2[best] += grown
         return best, best_score
 
 
-def leader_follower(docs: DataFrame, *, threshold: float = 0.25, structural_bonus: float = 0.0, semantic_weight: float = 0.0, group: str = "project_id") -> DataFrame:
-    """(project_id, id, cluster_id, similarity, seq) of docs (project_id, id, tokens, key, vector, seq), assigned in order of seq."""
+def leader_follower(docs: DataFrame, *, threshold: float = 0.25, structural_bonus: float = 0.0, semantic_weight: float = 0.0, group: str = "project_id", idf: DataFrame | None = None) -> DataFrame:
+    """(project_id, id, cluster_id, similarity, seq) of docs (project_id, id, tokens, key, vector, seq), assigned in order of seq.
+
+    idf (group, term, idf) gives the weights of the whole corpus; without it they are those of the moment of arrival. A
+    project's weights travel with its records, as its vocabulary is part of the state its task holds anyway.
+    """
     has_vector = "vector" in docs.columns
+    if idf is not None:
+        # a leading row per project holds its weights; its place in the order is before all records
+        heads = idf.groupBy(group).agg(F.map_from_entries(F.collect_list(F.struct("term", "idf"))).alias("idf_"))
+        lead = docs.limit(0).drop("seq").unionByName(heads.select(group, "idf_"), allowMissingColumns=True).withColumn("seq", F.lit(None).cast("bigint"))
+        docs = docs.unionByName(lead, allowMissingColumns=True)
+    has_idf = idf is not None
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, leader = object(), None
@@ -99,9 +148,12 @@ def leader_follower(docs: DataFrame, *, threshold: float = 0.25, structural_bonu
             out = []
             for r in pdf.itertuples(index=False):
                 if getattr(r, group) != now:
-                    now, leader = getattr(r, group), Leader(threshold, structural_bonus, semantic_weight)
+                    now, leader = getattr(r, group), Leader(threshold, structural_bonus, semantic_weight, {} if has_idf else None)
+                if has_idf and r.idf_ is not None:
+                    leader.idf = dict(r.idf_)
+                    continue
                 c, s = leader.assign(list(r.tokens) if r.tokens is not None else [], r.key or "", r.vector if has_vector else None)
-                out.append((now, r.id, f"c{c}", float(s), r.seq))
+                out.append((now, r.id, f"c{c}", float(s), int(r.seq)))
             yield pd.DataFrame(out, columns=[group, "id", "cluster_id", "similarity", "seq"])
 
     ordered = docs.repartition(group).sortWithinPartitions(group, "seq")
