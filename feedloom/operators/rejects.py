@@ -202,7 +202,12 @@ def _layout(head: str | None, delim: str | None) -> tuple[int, tuple[int | None,
 
 def _scratch(folder: str | None) -> str:
     """A folder of this task's own for the files DuckDB reads, removed with it: in the shared folder where it is mounted."""
-    return tempfile.mkdtemp(prefix="rejects-", dir=folder)
+    try:
+        if folder:
+            os.makedirs(folder, exist_ok=True)
+        return tempfile.mkdtemp(prefix="rejects-", dir=folder)
+    except OSError:  # a shared folder that this worker does not see as files
+        return tempfile.mkdtemp(prefix="rejects-")
 
 
 def _load_batches(shared: str | None):

@@ -7,13 +7,16 @@ version is reported by ``zone_version()``; a local time that was skipped or occu
 
 Defined results: null, empty, unusable or impossible values give null; surrounding white space is ignored; digits finer
 than a millisecond are cut off. A zone written in the value wins over the default zone; where an offset and a bracketed
-zone are both given, the offset counts. An unknown zone or a missing default zone gives null.
+zone are both given, the offset counts. An unknown zone or a missing default zone gives null, and so does a value of more
+than 64 characters: no notation is that long.
 """
 
 from __future__ import annotations
 
 import re
+from datetime import datetime
 from functools import lru_cache
+from zoneinfo import ZoneInfo
 
 import numpy as np
 import pandas as pd
@@ -42,8 +45,23 @@ ABBREVIATIONS = {
     "EST": -300, "EDT": -240, "CDT": -300, "MST": -420, "MDT": -360, "PST": -480, "PDT": -420, "AKST": -540, "AKDT": -480, "HST": -600, "BRT": -180, "ART": -180,
     "JST": 540, "KST": 540, "SGT": 480, "HKT": 480, "AWST": 480, "ACST": 570, "ACDT": 630, "AEST": 600, "AEDT": 660, "NZST": 720, "NZDT": 780,
 }
-# Abbreviations with several meanings count only where the record's own zone uses them.
-BY_ZONE = {"BST": {"Europe/London": 60}, "IST": {"Asia/Kolkata": 330, "Europe/Dublin": 60, "Asia/Jerusalem": 120}, "CST": {"America/Chicago": -360, "America/New_York": -360, "America/Los_Angeles": -360, "Asia/Shanghai": 480}}
+#: Abbreviations with several meanings: they count only where the record's own zone gives them one.
+AMBIGUOUS = ("BST", "IST", "CST")
+
+
+@lru_cache(maxsize=4096)
+def own_meaning(name: str, zone: str | None) -> int | None:
+    """Minutes from UTC of an ambiguous abbreviation in a zone that uses it itself; all America writes CST for its central time."""
+    try:
+        tz = ZoneInfo(zone or "")
+    except (KeyError, ValueError, OSError):
+        return None
+    for month in range(1, 13):
+        at = datetime(2020, month, 1, tzinfo=tz)
+        if at.tzname() == name:
+            return int(at.utcoffset().total_seconds() // 60)
+    return -360 if name == "CST" and zone.startswith("America/") else None
+
 
 EPOCH_FIRST, EPOCH_LAST = -2_208_988_800, 4_102_444_800  # 1900 to 2100
 
@@ -62,7 +80,6 @@ def zone_version() -> str:
 def transitions(zone: str) -> tuple[np.ndarray, np.ndarray] | None:
     """(instants, offsets): offsets[k] seconds hold from instants[k-1] until instants[k]. None for an unknown zone."""
     from datetime import UTC, datetime
-    from zoneinfo import ZoneInfo
 
     try:
         tz = ZoneInfo(zone)
@@ -225,12 +242,12 @@ def _convert(values: np.ndarray, at: dict[str, slice], zones: np.ndarray, locale
         names = _words(values, at["zn"]) if "zn" in at else [""] * n
         texts = _words(values, at["off"] if "off" in at else at["zo"]) if "off" in at or "zo" in at else [""] * n
         for i in range(n):
-            key = (names[i], texts[i], zones[i] if names[i].upper() in BY_ZONE else None)
+            key = (names[i], texts[i], zones[i] if names[i].upper() in AMBIGUOUS else None)
             if key not in cache:
                 base = 0
                 if key[0]:
                     name = key[0].upper()
-                    minutes = BY_ZONE[name].get(key[2]) if name in BY_ZONE else ABBREVIATIONS.get(name)
+                    minutes = own_meaning(name, key[2] if isinstance(key[2], str) else None) if name in AMBIGUOUS else ABBREVIATIONS.get(name)
                     base = None if minutes is None or (key[1] and name not in ("GMT", "UTC", "UT")) else minutes * 60
                 extra = _offset(key[1]) if key[1] else 0
                 cache[key] = None if base is None or extra is None else base + extra
