@@ -133,6 +133,19 @@ def frustration_signals(events: DataFrame) -> DataFrame:
     return ordered.mapInPandas(run, "session string, " + ", ".join(f"{k} int" for k in names))
 
 
+RING = 200
+
+
+def latest(events: DataFrame, ring: int = RING) -> DataFrame:
+    """The last events of each session, as a client's tracker holds them; salted first, so a hot session is never one task's sort."""
+    from pyspark.sql import Window as W
+
+    order = [F.desc("at_ms"), F.desc("seq")]
+    some = events.withColumn("salt_", F.pmod(F.xxhash64("at_ms", "seq"), F.lit(32)))
+    some = some.withColumn("r_", F.row_number().over(W.partitionBy("session", "salt_").orderBy(*order))).filter(F.col("r_") <= ring)
+    return some.withColumn("r_", F.row_number().over(W.partitionBy("session").orderBy(*order))).filter(F.col("r_") <= ring).drop("salt_", "r_")
+
+
 def frustration_score() -> Column:
     """1 − exp(−Σ weight × count), to four decimals."""
     total = sum((F.greatest(F.col(k), F.lit(0)) * w for k, w in WEIGHTS.items()), F.lit(0.0))

@@ -7,6 +7,7 @@ the clusters' sums are held, never the records. There is no exact parallel form
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -19,6 +20,9 @@ from pyspark.sql import functions as F
 from feedloom.functions.text import top_content_word
 
 
+STATE_VERSION = 1
+
+
 @dataclass
 class _Cluster:
     size: int = 0
@@ -128,6 +132,27 @@ class Leader:
         return best, best_score
 
 
+    def to_json(self) -> str:
+        """The whole state; a restored one assigns as this one would."""
+        return json.dumps({
+            "version": STATE_VERSION, "threshold": self.threshold, "bonus": self.bonus, "semantic": self.semantic, "idf": self.idf, "n": self.n, "df": self.df, "norm2": self.norm2[:len(self.clusters)].tolist(),
+            "clusters": [[c.size, c.keys, c.dense, c.dense_n] for c in self.clusters], "index": {t: [p.ids[:p.n].tolist(), p.sums[:p.n].tolist()] for t, p in self.index.items()}})
+
+    @classmethod
+    def from_json(cls, text: str) -> Leader:
+        d = json.loads(text)
+        if d.get("version") != STATE_VERSION:
+            raise ValueError(f"state of version {d.get('version')}, expected {STATE_VERSION}")
+        out = cls(d["threshold"], d["bonus"], d["semantic"], d["idf"])
+        out.n, out.df = d["n"], d["df"]
+        out.clusters = [_Cluster(size, dense, dense_n, keys) for size, keys, dense, dense_n in d["clusters"]]
+        out.norm2 = np.concatenate([np.array(d["norm2"], np.float64), np.zeros(max(16, len(d["norm2"])))])
+        for t, (ids, sums) in d["index"].items():
+            p = out.index[t] = _Postings()
+            p.ids, p.sums, p.n, p.at = np.array(ids, np.int64), np.array(sums, np.float64), len(ids), {c: k for k, c in enumerate(ids)}
+        return out
+
+
 def leader_follower(docs: DataFrame, *, threshold: float = 0.25, structural_bonus: float = 0.0, semantic_weight: float = 0.0, group: str = "project_id", idf: DataFrame | None = None) -> DataFrame:
     """(project_id, id, cluster_id, similarity, seq) of docs (project_id, id, tokens, key, vector, seq), assigned in order of seq.
 

@@ -14,7 +14,7 @@ NOW = "2026-09-01T00:00:00Z"
 
 
 def facts(spark: SparkSession, sf: str) -> DataFrame:
-    return store.first_writes(table(spark, sf, "submissions"))
+    return store.stored_facts(table(spark, sf, "submissions"))
 
 
 def members(spark: SparkSession, sf: str) -> DataFrame:

@@ -172,6 +172,12 @@ def scroll_reversals(spark, sf):
     return bursts.reversals(e)
 
 
+@query("""SELECT user_id::VARCHAR AS session, event_id AS seq FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000 DESC, event_id DESC) <= 20""")
+def tracker_ring(spark, sf):
+    """The last twenty events of each session, which is what a tracker of that size holds."""
+    return bursts.latest(fb._ui_events(spark, sf), 20).select("session", "seq")
+
+
 @query("""WITH t AS (SELECT DISTINCT id, body AS text FROM submissions WHERE body IS NOT NULL), c AS (SELECT DISTINCT description AS text FROM inbox UNION SELECT DISTINCT body FROM submissions WHERE ingest_seq % 3 = 0),
   p AS (SELECT text, count(*) AS n, text IN (SELECT text FROM c WHERE text IS NOT NULL) AS known FROM t GROUP BY 1) SELECT coalesce(sum(n) FILTER (known), 0)::BIGINT AS hits, count(*) FILTER (NOT known) AS misses, coalesce(sum(n - 1) FILTER (NOT known), 0)::BIGINT AS deduped FROM p""")
 def embedding_cache_statistics(spark, sf):

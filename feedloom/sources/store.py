@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedloom import schema
+from feedloom.runtime import maybe_broadcast
 
 
 def first_writes(df: DataFrame) -> DataFrame:
@@ -14,6 +15,18 @@ def first_writes(df: DataFrame) -> DataFrame:
     return df.groupBy("project_id", "id").agg(F.min_by(F.struct(*rest), "ingest_seq").alias("r")).select("id", "project_id", *[F.col(f"r.{c}").alias(c) for c in rest])
 
 
+def stored_facts(stored: DataFrame) -> DataFrame:
+    """first_writes() of a stored table, whose ingest_seq is unique: only keys and numbers are grouped, and the few repeats are filtered out.
+
+    The texts of the records are not shuffled while the repeated keys are few enough to send (maybe_broadcast); beyond that they are joined.
+    """
+    keys = stored.select("project_id", "id", "ingest_seq")
+    again = keys.groupBy("project_id", "id").agg(F.min("ingest_seq").alias("first_"), F.count("*").alias("n")).filter("n > 1").select(F.col("project_id").alias("p_"), F.col("id").alias("i_"), "first_")
+    same = stored["project_id"].eqNullSafe(F.col("p_")) & stored["id"].eqNullSafe(F.col("i_"))
+    first = stored.join(maybe_broadcast(again), same, "left").filter(F.col("first_").isNull() | (F.col("ingest_seq") == F.col("first_")))
+    return first.select(*stored.columns)
+
+
 def required(df: DataFrame) -> DataFrame:
     """Rows with all required fields; a null body is unusable, an empty one is not."""
     keep = F.lit(True)

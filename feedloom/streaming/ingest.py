@@ -37,10 +37,12 @@ def assign_stream(docs: DataFrame, threshold: float = 0.25) -> DataFrame:
 
     The state of a project is that of its clusters; a repeated id gets its first cluster with similarity 1.
     """
-    import pickle
+    import json
 
     def run(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        leader, seen = pickle.loads(state.get[0]) if state.exists else (Leader(threshold), {})
+        leader, seen = Leader(threshold), {}
+        if state.exists:
+            leader, seen = Leader.from_json(state.get[0]), json.loads(state.get[1])
         rows = pd.concat(list(batches)).sort_values("seq")
         out = []
         for r in rows.itertuples(index=False):
@@ -50,7 +52,7 @@ def assign_stream(docs: DataFrame, threshold: float = 0.25) -> DataFrame:
             c, s = leader.assign(list(r.tokens))
             seen[r.id] = f"c{c}"
             out.append((key[0], r.id, seen[r.id], s))
-        state.update((pickle.dumps((leader, seen)),))
+        state.update((leader.to_json(), json.dumps(seen)))
         yield pd.DataFrame(out, columns=["project_id", "id", "cluster_id", "similarity"])
 
-    return docs.groupBy("project_id").applyInPandasWithState(run, "project_id string, id string, cluster_id string, similarity double", "state binary", "append", "NoTimeout")
+    return docs.groupBy("project_id").applyInPandasWithState(run, "project_id string, id string, cluster_id string, similarity double", "leader string, seen string", "append", "NoTimeout")

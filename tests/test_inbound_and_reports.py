@@ -156,3 +156,19 @@ def test_a_side_is_broadcast_only_if_it_is_small(spark, monkeypatch):
     assert hinted(runtime.maybe_broadcast(df)) and not hinted(runtime.maybe_broadcast(df, 10**9))
     monkeypatch.setattr(runtime, "BROADCAST_BYTES", 50)
     assert not hinted(runtime.maybe_broadcast(df)) and hinted(runtime.maybe_broadcast(df.select("a"), 1))
+
+
+def test_a_restored_index_assigns_as_the_old_one_would():
+    import random
+
+    rng = random.Random(6)
+    records = [([f"w{rng.randrange(30)}" for _ in range(rng.randrange(0, 8))], rng.choice("ab"), [rng.random(), rng.random()] if k % 3 else None) for k in range(120)]
+    for how in ({}, {"structural_bonus": 0.2, "semantic_weight": 0.4}):
+        whole = clustering.Leader(0.3, **how)
+        half = clustering.Leader(0.3, **how)
+        want = [whole.assign(*r) for r in records]
+        got = [half.assign(*r) for r in records[:60]]
+        half = clustering.Leader.from_json(half.to_json())
+        assert got + [half.assign(*r) for r in records[60:]] == want
+    with pytest.raises(ValueError):
+        clustering.Leader.from_json(half.to_json().replace('"version": 1', '"version": 2'))

@@ -87,3 +87,11 @@ def test_assignment_stream(spark, tmp_path):
     q.awaitTermination()
     got = {r.id: r.cluster_id for r in spark.table("assigned").collect()}
     assert got["d0"] == got["d2"] != got["d1"]
+
+
+def test_stored_facts_are_the_first_writes(spark):
+    rows = [("p", "a", 3, "x"), ("p", "a", 1, "y"), ("p", "b", 2, "z"), ("q", "a", 4, None), (None, "a", 6, "u"), (None, "a", 5, "v"), ("p", None, 7, "w"), ("p", None, 8, "w")]
+    df = spark.createDataFrame(rows, "project_id string, id string, ingest_seq long, body string")
+    got = {tuple(r) for r in store.stored_facts(df).select("project_id", "id", "ingest_seq", "body").collect()}
+    assert got == {tuple(r) for r in store.first_writes(df).select("project_id", "id", "ingest_seq", "body").collect()} and len(got) == 5
+    assert store.stored_facts(df.limit(0)).count() == 0
