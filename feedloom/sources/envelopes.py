@@ -9,6 +9,10 @@ from feedloom import schema
 from feedloom.functions import scalars
 
 
+#: Columns of an event that hold structures.
+NESTED = ("element", "frustration", "custom")
+
+
 def parse(lines: DataFrame, column: str = "value") -> DataFrame:
     """(envelope, reason): parsed envelopes; reason is set for malformed ones and those of another version."""
     e = lines.select(F.from_json(F.col(column), schema.ENVELOPE).alias("e"))

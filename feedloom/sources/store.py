@@ -35,13 +35,22 @@ def required(df: DataFrame) -> DataFrame:
     return df.filter(keep)
 
 
-def read_jsonl(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(submissions, corrupt lines): lines that do not parse or lack a required field are set aside; ids count once."""
+def _jsonl(spark: SparkSession, path: str) -> DataFrame:
     how = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
-    raw = spark.read.text(path).filter("trim(value) <> ''").select(F.from_json("value", schema.SUBMISSION + ", _corrupt string", how).alias("r")).select("r.*")
-    whole = raw.filter("_corrupt IS NULL").drop("_corrupt")
-    lacking = whole.filter(F.greatest(*[F.col(c).isNull() for c in schema.REQUIRED])).select(F.to_json(F.struct(*whole.columns)).alias("_corrupt"))
-    return first_writes(required(whole)), raw.filter("_corrupt IS NOT NULL").select("_corrupt").unionByName(lacking)
+    return spark.read.text(path).filter("trim(value) <> ''").select(F.from_json("value", schema.SUBMISSION + ", _corrupt string", how).alias("r"), "value").select("r.*", "value")
+
+
+def read_jsonl(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(submissions, corrupt lines): ids count once; lines that do not parse are set aside, those without a required field are in lacking_jsonl()."""
+    raw = _jsonl(spark, path)
+    good = first_writes(required(raw.filter("_corrupt IS NULL").drop("_corrupt", "value")))
+    return good, raw.filter("_corrupt IS NOT NULL").select("_corrupt")
+
+
+def lacking_jsonl(spark: SparkSession, path: str) -> DataFrame:
+    """(value, fields): lines that parse but lack required fields, with their names."""
+    missing = F.filter(F.array(*[F.when(F.col(c).isNull(), c) for c in schema.REQUIRED]), lambda c: c.isNotNull())
+    return _jsonl(spark, path).filter("_corrupt IS NULL").select("value", missing.alias("fields")).filter(F.size("fields") > 0)
 
 
 def append_jsonl(df: DataFrame, path: str) -> None:

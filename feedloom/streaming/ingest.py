@@ -20,7 +20,9 @@ def idempotent_writer(spark: SparkSession, path: str, policy: str = "per-day"):
     """
     def write(batch: DataFrame, batch_id: int) -> None:
         rows = envelopes.to_submissions(envelopes.parse(batch), policy).withColumn("batch", F.lit(batch_id))
-        once = rows.groupBy("project_id", "id").agg(F.min(F.struct(*[c for c in rows.columns if c not in ("project_id", "id")])).alias("r")).select("project_id", "id", "r.*")
+        rest = [c for c in rows.columns if c not in ("project_id", "id")]
+        order = F.struct(*[c for c in rest if c not in envelopes.NESTED], *[F.to_json(c).alias(c) for c in envelopes.NESTED])  # maps have no order
+        once = rows.groupBy("project_id", "id").agg(F.min_by(F.struct(*rest), order).alias("r")).select("project_id", "id", "r.*")
         try:
             stored = spark.read.parquet(path).filter(F.col("batch") != batch_id).select("project_id", "id")
             once = once.join(stored, ["project_id", "id"], "left_anti")

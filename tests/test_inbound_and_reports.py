@@ -44,7 +44,9 @@ def test_import_is_sorted_and_counts(spark):
 def test_rejected_lines_and_events_are_kept(spark, tmp_path):
     (tmp_path / "s.jsonl").write_text('{"id": "1"}\n{broken\n\n')
     good, bad = store.read_jsonl(spark, str(tmp_path / "s.jsonl"))
-    assert good.count() == 0 and bad.count() == 2
+    assert good.count() == 0 and bad.count() == 1
+    lacking = store.lacking_jsonl(spark, str(tmp_path / "s.jsonl")).collect()
+    assert [(r.value, r.fields[0], len(r.fields)) for r in lacking] == [('{"id": "1"}', "project_id", 7)]
     lines = spark.createDataFrame([('{"v": 0, "project": "p", "events": [{"id": "a", "kind": "bug", "clientTs": "nope"}, {"kind": "bug", "clientTs": "2026-05-01T00:00:00Z"}, {"id": "c", "kind": "bug", "clientTs": "2026-05-01T00:00:00Z", "element": {"selector": "#x"}, "context": {"custom": {"k": "v"}}}]}',)], "value string")
     parsed = envelopes.parse(lines)
     assert sorted((r.id or "", r.reason) for r in envelopes.rejected_events(parsed).collect()) == [("", "id"), ("a", "time")]
