@@ -6,7 +6,8 @@ digit groups, at-signs, titles, given names and pairs of capitalised words; each
 there. Numbers of orders, tickets, builds and devices fail those patterns. Two capitalised words are a name where the
 sentence says so ("my colleague …", "regards, …", "… called"). From such places ``learn_given`` reads the corpus' own given
 names: a first word that is met there before LEARN different family names. They join the seeds and are found everywhere
-else, written in any case, so recall does not hang on a list.
+else, written in any case, so recall does not hang on a list. However many are learned, all count: as a set on the workers,
+or, beyond SEND, each text with those that stand in it (``with_learned``).
 
 Placeholders are ``[kind:pseudonym]``. Numbers are permuted within their format by a keyed Feistel network: digits stay
 digits, separators, prefixes and letters stay in place, dates inside numbers stay dates, and check digits are made valid
@@ -24,15 +25,17 @@ from __future__ import annotations
 import bisect
 import datetime as dt
 import hashlib
+import itertools
 import re
-from collections.abc import Iterator
+import zlib
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.runtime import written
+from feedloom.runtime import BROADCAST_BYTES, written
 
 KINDS = ("email", "id_number", "phone", "address", "name")
 
@@ -305,6 +308,16 @@ def _listed(text: str, given: frozenset[str] | set[str]) -> Iterator[tuple[int,
             yield s, end
 
 
+def _looked_up(text: str) -> set[str]:
+    """Every word of a text that find_items may look up among the given names, but for the seeds."""
+    words = set(_WORD.findall(text.lower()))
+    if not text.isascii():  # a letter's lower case may depend on its neighbours
+        words.update(w.lower() for w in _WORD.findall(text))
+    if "'" in text or "-" in text or "’" in text:
+        words.update(_FAMILY.match(text, m.start())[0].lower() for m in _WORD.finditer(text))
+    return words - GIVEN
+
+
 def find_items(text: str, given: frozenset[str] | set[str] = GIVEN) -> list[tuple[str, int, int]]:
     """(kind, start, end) of every item, by position. given: the given names known."""
     found: list[tuple[str, int, int]] = []
@@ -508,23 +521,73 @@ def redact(text: str, key: bytes, given: frozenset[str] | set[str] = GIVEN) -> s
 
 #: Different family names a word must be stated with to be learned as a given name.
 LEARN = 3
-#: At most this many learned names go to the workers; the number of family names asked for doubles until they are so few.
+#: Up to this many learned names (and BROADCAST_BYTES) go to the workers as a set; more are joined to the texts.
 SEND = 500_000
+#: Most bits of the map that says which words may be learned names.
+MAP_BITS = 1 << 29
+
+Given = frozenset[str] | set[str] | DataFrame
 
 
-def learn_given(df: DataFrame, text: str) -> frozenset[str]:
-    """The seeds and the given names the corpus states itself, from counts over all its texts."""
+def learn_given(df: DataFrame, text: str) -> frozenset[str] | DataFrame:
+    """The seeds and the given names the corpus states itself, from counts over all its texts.
+
+    Where the learned names are too many for a set: a table (first) of them all, which items and with_redacted take as well.
+    """
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             met = {(first, family) for t in pdf["t"] if isinstance(t, str) for _, _, first, family in _stated(t)}
             yield pd.DataFrame(sorted(met), columns=["first", "family"], dtype=object)
 
     pairs = df.select(F.col(text).alias("t")).mapInPandas(run, "first string, family string").distinct()
-    counts = written(pairs.groupBy("first").agg(F.count("*").alias("n")).filter(F.col("n") >= LEARN), "pii-given")
-    least = LEARN
-    while counts.filter(F.col("n") >= least).count() > SEND:
-        least *= 2
-    return frozenset(GIVEN | {r["first"] for r in counts.filter(F.col("n") >= least).select("first").toLocalIterator()})
+    learned = written(pairs.groupBy("first").agg(F.count("*").alias("n")).filter(F.col("n") >= LEARN).select("first"), "pii-given")
+    n, size = learned.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("first")), F.lit(0))).head()
+    if n > SEND or size > BROADCAST_BYTES:
+        return learned
+    return frozenset(GIVEN | {r["first"] for r in learned.toLocalIterator()})
+
+
+def _bit_map(learned: DataFrame) -> bytes:
+    """A bit for the CRC of each name: a word whose bit is not set is none of them. Its size is a power of two and bounded."""
+    bits = min(MAP_BITS, 1 << (32 * learned.count()).bit_length())
+    out = bytearray(bits // 8)
+    for r in learned.select(F.crc32(F.col("first").cast("binary")).alias("crc")).toLocalIterator():
+        at = r["crc"] & (bits - 1)
+        out[at >> 3] |= 1 << (at & 7)
+    return bytes(out)
+
+
+def with_learned(df: DataFrame, text: str, learned: DataFrame) -> DataFrame:
+    """df with _given: the learned names among the words of its text, null if there are none; find_items looks up no others.
+
+    Words that the bit map lets pass are joined with the names, and the names of a text with its rows by the text's SHA-256.
+    The map only thins the join out, so the result is exact for any number of names.
+    """
+    bits = _bit_map(learned)
+    last = len(bits) * 8 - 1
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            keys, words = [], []
+            for k, t in zip(pdf["_key"], pdf["_text"]):
+                if not isinstance(t, str):
+                    continue
+                for w in _looked_up(t):
+                    at = zlib.crc32(w.encode()) & last
+                    if bits[at >> 3] >> (at & 7) & 1:
+                        keys.append(k)
+                        words.append(w)
+            yield pd.DataFrame({"_key": pd.Series(keys, dtype=object), "first": pd.Series(words, dtype=object)})
+
+    key = F.unhex(F.sha2(F.col(text).cast("binary"), 256)).alias("_key")
+    words = df.select(key, F.col(text).alias("_text")).mapInPandas(run, "_key binary, first string")
+    names = words.join(learned.hint("merge"), "first", "left_semi").groupBy("_key").agg(F.collect_set("first").alias("_given"))
+    return df.select("*", key).join(names, "_key", "left").drop("_key")
+
+
+def _known(names: Iterable) -> Iterator[set[str]]:
+    """The given names to look up in each text: the seeds and those of with_learned."""
+    return (GIVEN if x is None else GIVEN.union(x) for x in names)
 
 
 def redacted(text: Column, key: bytes, given: frozenset[str] | set[str] = GIVEN) -> Column:
@@ -535,18 +598,36 @@ def redacted(text: Column, key: bytes, given: frozenset[str] | set[str] = GIVEN)
     return F.pandas_udf(run, "string")(text)
 
 
-def items(df: DataFrame, ids: list[str], text: str, key: bytes, given: frozenset[str] | set[str] = GIVEN) -> DataFrame:
-    """(*ids, pii_kind, nth, pseudonym): one row per item, with what the redacted text has in its place. A narrow map: no shuffle, whatever the skew."""
+def with_redacted(df: DataFrame, text: str, key: bytes, given: Given = GIVEN) -> DataFrame:
+    """df with a column redacted: the text with placeholders."""
+    if not isinstance(given, DataFrame):
+        return df.withColumn("redacted", redacted(F.col(text), key, given))
+
+    def run(texts: pd.Series, names: pd.Series) -> pd.Series:
+        return pd.Series([redact(t, key, g) if isinstance(t, str) else None for t, g in zip(texts, _known(names))], dtype=object)
+
+    return with_learned(df, text, given).withColumn("redacted", F.pandas_udf(run, "string")(F.col(text), F.col("_given"))).drop("_given")
+
+
+def items(df: DataFrame, ids: list[str], text: str, key: bytes, given: Given = GIVEN) -> DataFrame:
+    """(*ids, pii_kind, nth, pseudonym): one row per item, with what the redacted text has in its place.
+
+    With a set of given names a narrow map: no shuffle, whatever the skew. With a table of them the texts are joined once.
+    """
     schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in ids) + ", pii_kind string, nth int, pseudonym string"
+    df = df.select(*ids, text)
+    fixed = given
+    if isinstance(given, DataFrame):
+        df, fixed = with_learned(df, text, given), None
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows, kinds, nths, names = [], [], [], []
-            for i, t in enumerate(pdf[text]):
+            for i, (t, known) in enumerate(zip(pdf[text], itertools.repeat(fixed) if fixed is not None else _known(pdf["_given"]))):
                 if not isinstance(t, str) or not t:
                     continue
                 seen: dict[str, int] = {}
-                for kind, s, e in find_items(t, given):
+                for kind, s, e in find_items(t, known):
                     seen[kind] = seen.get(kind, 0) + 1
                     rows.append(i)
                     kinds.append(kind)
@@ -556,4 +637,4 @@ def items(df: DataFrame, ids: list[str], text: str, key: bytes, given: frozenset
             plain = {c: pd.Series(pdf[c].to_numpy(object)[at], dtype=object) for c in ids}
             yield pd.DataFrame(plain | {"pii_kind": pd.Series(kinds, dtype=object), "nth": pd.Series(nths, dtype="int32"), "pseudonym": pd.Series(names, dtype=object)})
 
-    return df.select(*ids, text).mapInPandas(run, schema)
+    return df.mapInPandas(run, schema)

@@ -50,7 +50,7 @@ def p2_items(spark: SparkSession, sf: str) -> DataFrame:
 def p2_redacted(spark: SparkSession, sf: str) -> DataFrame:
     """Every text with typed placeholders and format-preserving pseudonyms."""
     texts = _records(spark, sf)
-    return texts.select("src", "rec_id", pii.redacted(F.col("text"), DEMO_KEY, pii.learn_given(texts, "text")).alias("redacted"))
+    return pii.with_redacted(texts, "text", DEMO_KEY, pii.learn_given(texts, "text")).select("src", "rec_id", "redacted")
 
 
 def _one_text(spark: SparkSession, sf: str) -> DataFrame:

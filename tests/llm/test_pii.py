@@ -65,6 +65,52 @@ def test_given_names_are_learned_from_the_corpus(spark):
     assert all(len(v) == 1 for v in want.values()) and len({next(iter(v)) for v in want.values()}) == len(want)
 
 
+def _stated_and_bare():
+    """Twelve given names, each stated with three family names and met once where no sentence says that it is a name; odd rows."""
+    rng = random.Random(11)
+    families = ["Murphyra", "Whitlockar", "Delgadon", "Adeyemin", "Kamauris", "Llewphyra"]
+    rows = []
+    for g in ("Siobhan", "Thaddeus", "Xiomara", "Oluwaseun", "Wanjiru", "Bronwen", "Mbali", "Ruaridh", "Nneka", "Ægir", "Éowyn", "Maria"):
+        rows += [(f"stated {g} {f}", f"my colleague {g} {f} told us") for f in rng.sample(families, 3)]
+        rows.append((f"bare {g}", f"the form lists {g} {rng.choice(families)} as owner"))
+    rows += [("many", "MBALI KAMAURIS and wanjiru murphyra met Delgadon, Xiomara; Mr Siobhan Whitlockar was out"), ("none", "the owner lists 3 forms"), ("null", None), ("empty", "")]
+    return rows + [("again", "card of Mbali Whitlockar was kept")] * 2
+
+
+def test_learned_names_beyond_the_limit_of_a_set_are_all_found(spark, monkeypatch):
+    df = spark.createDataFrame(_stated_and_bare(), "rec string, text string")
+    known = pii.learn_given(df, "text")
+    want = sorted(map(tuple, pii.items(df, ["rec"], "text", KEY, known).collect()))
+    assert len(known) == len(pii.GIVEN) + 11 and {r[0] for r in want} == {r[0] for r in _stated_and_bare()} - {"none", "null", "empty"} and sum(r[0] == "many" for r in want) == 4
+    monkeypatch.setattr(pii, "SEND", 5)
+    assert sorted(map(tuple, pii.items(df, ["rec"], "text", KEY, pii.learn_given(df, "text")).collect())) == want
+
+
+def test_names_joined_to_the_texts_equal_a_set_of_them(spark, monkeypatch):
+    df = spark.createDataFrame(_stated_and_bare(), "rec string, text string")
+    known = pii.learn_given(df, "text")
+    want = sorted(map(tuple, pii.items(df, ["rec"], "text", KEY, known).collect()))
+    redacted = sorted(map(tuple, pii.with_redacted(df, "text", KEY, known).collect()), key=str)
+    monkeypatch.setattr(pii, "BROADCAST_BYTES", 20)  # few names, but long ones
+    table = pii.learn_given(df, "text")
+    assert pii.GIVEN | {r.first for r in table.collect()} == known
+    monkeypatch.setattr(pii, "MAP_BITS", 8)  # a map that lets nearly every word pass changes nothing
+    assert sorted(map(tuple, pii.items(df, ["rec"], "text", KEY, table).collect())) == want
+    assert sorted(map(tuple, pii.with_redacted(df, "text", KEY, table).collect()), key=str) == redacted
+
+
+def test_the_given_names_of_a_text_suffice_for_it():
+    rng = random.Random(5)
+    parts = ["Ann", "ANN", "ann", "o", "O", "Bo", "İb", "ΑΣ", "ας", "é", "x", "Mr", "dr.", "H.", "Maria", "Ærø", "1", "_", "@"]
+    gaps = [" ", " ", " ", ", ", "'", "’", "-", ".", ". ", "\n", ""]
+    for _ in range(5_000):
+        text = "".join(rng.choice(parts) + rng.choice(gaps) for _ in range(rng.randrange(1, 14)))
+        known = pii.GIVEN | {w for w in sorted(pii._looked_up(text)) if rng.random() < 0.4} | {"ann", "bo-ann", "ann'bo"}
+        assert pii.find_items(text, known) == pii.find_items(text, pii.GIVEN | (known & pii._looked_up(text)))
+    cut = "a" * 38  # what the forty characters before the given name hold of a longer word
+    assert pii.find_items("aaaa" + cut + ", Maria saw it", pii.GIVEN | {cut}) == pii.find_items("aaaa" + cut + ", Maria saw it")
+
+
 def test_check_digits_hold_again():
     rng = random.Random(9)
     assert pii.cpf_digits("529982247") == "25" and pii.nir_key("1850578006084") == "91" and pii.verhoeff_digit("236") == "3"
