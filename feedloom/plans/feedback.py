@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedloom.functions import hashing, scalars, text
+from feedloom.functions import bags, hashing, scalars, text
 from feedloom.operators import bursts, clustering, consolidate, embed, exceptions, issues, lsh, metrics, rank, redact, vectors
 from feedloom.runtime import maybe_broadcast, table, written
 from feedloom.sources import delimited, store
@@ -275,8 +275,10 @@ def tfidf_vectors(spark, sf):
   SELECT query_id, doc_id, round(cosine, 5) AS cosine FROM c WHERE cosine >= 0.3 AND query_id <> doc_id""")
 def sparse_cosine_search(spark, sf):
     """Every row whose id is divisible by 20 as a query against all rows: matches from a cosine of 0.3 on."""
-    v = written(_vectors(spark, sf), "tfidf")
-    c = vectors.query_cosines(v, v.filter(F.col("doc_id") % 20 == 0)).filter((F.col("cosine") >= 0.3) & (F.col("query_id") != F.col("doc_id")))
+    docs = table(spark, sf, "documents")
+    counted = written(bags.token_bags(docs, "doc_id", "text"), "bags")
+    v = written(vectors.bag_vectors(counted, docs.count()), "tfidf")
+    c = vectors.cosine_matches(v, v.filter(F.col("doc_id") % 20 == 0), 0.3).filter(F.col("query_id") != F.col("doc_id"))
     return c.select("query_id", "doc_id", F.round("cosine", 5).alias("cosine"))
 
 
