@@ -33,14 +33,17 @@ def stem(word: str) -> str:
     return base[:-1] if _DOUBLE.search(base) else base
 
 
-def token_bags(docs: DataFrame, doc: str, text: str) -> DataFrame:
-    """(doc, terms ARRAY, tf ARRAY): the tokens of text.tokenize with their counts, one row a doc; texts of one doc are taken together."""
+def token_bags(docs: DataFrame, doc: str, text: str, *beside: str) -> DataFrame:
+    """(doc, beside, terms ARRAY, tf ARRAY): the tokens of text.tokenize with their counts, in order of first occurrence.
+
+    One row a doc, texts of one doc taken together; with columns beside, one for each row.
+    """
     import pyarrow as pa
 
-    docs = docs.select(doc, text)
-    if not docs.groupBy(doc).agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
+    docs = docs.select(doc, text, *beside)
+    if not beside and not docs.groupBy(doc).agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
         docs = docs.groupBy(doc).agg(F.concat_ws(" ", F.collect_list(text)).alias(text))
-    stopwords = frozenset(STOPWORDS)
+    stopwords, own = frozenset(STOPWORDS), [doc, *beside]
 
     def run(batches):
         known: dict[str, str] = {}
@@ -59,9 +62,10 @@ def token_bags(docs: DataFrame, doc: str, text: str) -> DataFrame:
                 bags.append(bag)
             ends = pa.array([0, *_running(map(len, bags))], pa.int32())
             terms, tf = pa.array(list(chain.from_iterable(bags)), pa.string()), pa.array(list(chain.from_iterable(b.values() for b in bags)), pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends, terms), pa.ListArray.from_arrays(ends, tf)], [doc, "terms", "tf"])
+            yield pa.RecordBatch.from_arrays([*map(batch.column, own), pa.ListArray.from_arrays(ends, terms), pa.ListArray.from_arrays(ends, tf)], [*own, "terms", "tf"])
 
-    return docs.mapInArrow(run, f"`{doc}` {docs.schema[doc].dataType.simpleString()}, terms array<string>, tf array<int>")
+    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in own)
+    return docs.mapInArrow(run, f"{kinds}, terms array<string>, tf array<int>")
 
 
 def _running(sizes) -> list[int]:

@@ -9,11 +9,11 @@ from __future__ import annotations
 
 import json
 import math
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -75,10 +75,9 @@ class Leader:
         self.df: dict[str, int] = {}
         self.n = 0
 
-    def vectorise(self, tokens: list[str]) -> dict[str, float]:
-        tf: dict[str, int] = {}
-        for t in tokens:
-            tf[t] = tf.get(t, 0) + 1
+    def vectorise(self, tokens: list[str] | dict[str, int]) -> dict[str, float]:
+        """tokens: in order, or their counts in order of first occurrence."""
+        tf = tokens if isinstance(tokens, dict) else Counter(tokens)
         self.n += 1
         for t in tf:
             self.df[t] = self.df.get(t, 0) + 1
@@ -89,15 +88,15 @@ class Leader:
 
     def _lexical(self, vec: dict[str, float]) -> np.ndarray:
         """Cosine to every cluster's sum."""
+        met = [(p, w) for t, w in vec.items() if (p := self.index.get(t)) is not None]
         dots = np.zeros(len(self.clusters))
-        for t, w in vec.items():
-            p = self.index.get(t)
-            if p is not None:
-                dots[p.ids[:p.n]] += w * p.sums[:p.n]
+        if met:  # each cluster's products are added in order of the record's terms
+            each = np.repeat([w for _, w in met], [p.n for p, _ in met])
+            dots = np.bincount(np.concatenate([p.ids[:p.n] for p, _ in met]), each * np.concatenate([p.sums[:p.n] for p, _ in met]), len(dots))
         norm2 = self.norm2[:len(dots)]
         return np.divide(dots, np.sqrt(norm2), out=np.zeros(len(dots)), where=norm2 > 0)
 
-    def assign(self, tokens: list[str], key: str = "", dense=None) -> tuple[int, float]:
+    def assign(self, tokens: list[str] | dict[str, int], key: str = "", dense=None) -> tuple[int, float]:
         """(cluster number, similarity); a founder's similarity is 0."""
         vec = self.vectorise(tokens)
         best, best_score = -1, -1.0
@@ -153,13 +152,26 @@ class Leader:
         return out
 
 
-def leader_follower(docs: DataFrame, *, threshold: float = 0.25, structural_bonus: float = 0.0, semantic_weight: float = 0.0, group: str = "project_id", idf: DataFrame | None = None) -> DataFrame:
-    """(project_id, id, cluster_id, similarity, seq) of docs (project_id, id, tokens, key, vector, seq), assigned in order of seq.
+def _lists(column) -> Iterator[list]:
+    """The lists of an Arrow list array; a null one is empty."""
+    import pyarrow.compute as pc
+
+    flat = pc.list_flatten(column).to_numpy(zero_copy_only=False).tolist()
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)).tolist()
+    return (flat[a:b] for a, b in zip([0, *ends], ends))
+
 
-    idf (group, term, idf) gives the weights of the whole corpus; without it they are those of the moment of arrival. A
-    project's weights travel with its records, as its vocabulary is part of the state its task holds anyway.
+def leader_follower(docs: DataFrame, *, threshold: float = 0.25, structural_bonus: float = 0.0, semantic_weight: float = 0.0, group: str = "project_id", idf: DataFrame | None = None, beside: tuple[str, ...] = ()) -> DataFrame:
+    """(project_id, id, cluster_id, similarity, seq, beside) of docs (project_id, id, tokens, key, vector, seq), assigned in order of seq.
+
+    Instead of tokens docs may have terms and tf, as of bags.token_bags; key and vector may be absent. beside: further
+    columns of docs that stay. idf (group, term, idf) gives the weights of the whole corpus; without it they are those of
+    the moment of arrival. A project's weights travel with its records, as its vocabulary is part of the state its task
+    holds anyway.
     """
-    has_vector = "vector" in docs.columns
+    import pyarrow as pa
+
+    read = [c for c in (group, "tokens", "terms", "tf", "key", "vector", "idf_") if c in docs.columns or c == "idf_" and idf is not None]
     if idf is not None:
         # a leading row per project holds its weights; its place in the order is before all records
         heads = idf.groupBy(group).agg(F.map_from_entries(F.collect_list(F.struct("term", "idf"))).alias("idf_"))
@@ -167,22 +179,29 @@ def leader_follower(docs: DataFrame, *, threshold: float = 0.25, structural_bonu
         docs = docs.unionByName(lead, allowMissingColumns=True)
     has_idf = idf is not None
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, leader = object(), None
-        for pdf in batches:
-            out = []
-            for r in pdf.itertuples(index=False):
-                if getattr(r, group) != now:
-                    now, leader = getattr(r, group), Leader(threshold, structural_bonus, semantic_weight, {} if has_idf else None)
-                if has_idf and r.idf_ is not None:
-                    leader.idf = dict(r.idf_)
+        for batch in batches:
+            labels, scores, kept = [], [], []
+            lists = {c: _lists(batch.column(c)) if c in ("terms", "tf") else batch.column(c).to_pylist() for c in read}
+            none = [None] * batch.num_rows
+            bags = (dict(zip(t, n)) for t, n in zip(lists["terms"], lists["tf"])) if "terms" in lists else lists["tokens"]
+            for g, bag, key, vector, weights in zip(lists[group], bags, lists.get("key", none), lists.get("vector", none), lists.get("idf_", none)):
+                if g != now:
+                    now, leader = g, Leader(threshold, structural_bonus, semantic_weight, {} if has_idf else None)
+                kept.append(weights is None)
+                if weights is not None:
+                    leader.idf = dict(weights)
                     continue
-                c, s = leader.assign(list(r.tokens) if r.tokens is not None else [], r.key or "", r.vector if has_vector else None)
-                out.append((now, r.id, f"c{c}", float(s), int(r.seq)))
-            yield pd.DataFrame(out, columns=[group, "id", "cluster_id", "similarity", "seq"])
+                c, s = leader.assign(bag if bag is not None else [], key or "", vector)
+                labels.append(f"c{c}")
+                scores.append(float(s))
+            rows = batch if all(kept) else batch.filter(pa.array(kept, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([rows.column(group), rows.column("id"), pa.array(labels, pa.string()), pa.array(scores, pa.float64()), *[rows.column(c) for c in ("seq", *beside)]], [group, "id", "cluster_id", "similarity", "seq", *beside])
 
     ordered = docs.repartition(group).sortWithinPartitions(group, "seq")
-    return ordered.mapInPandas(run, f"{group} string, id string, cluster_id string, similarity double, seq bigint")
+    kinds = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in beside)
+    return ordered.mapInArrow(run, f"{group} string, id string, cluster_id string, similarity double, seq bigint{kinds}")
 
 
 def structural_key(platform: Column, route: Column, version: Column) -> Column:

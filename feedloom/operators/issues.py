@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from feedloom.functions.text import tokenize
-from feedloom.operators import clustering, consolidate, rank, vectors
-from feedloom.runtime import written
+from feedloom.functions import bags
+from feedloom.operators import clustering, consolidate, mean_linkage, rank, vectors
+from feedloom.runtime import maybe_broadcast, written
 
 
 def kind_histogram(members: DataFrame) -> DataFrame:
@@ -46,26 +46,31 @@ def build_issues(submissions: DataFrame, now: str, *, threshold: float = 0.25, m
     assignments (project_id, id, cluster_id) are kept where given; the rest is clustered. Excluded kinds shape the
     clusters but neither rank nor title them. limit is the length of the list.
     """
-    docs = written(submissions.select("project_id", "id", F.col("ingest_seq").alias("seq"), tokenize(F.col("cluster_text")).alias("tokens"), clustering.structural_key(F.col("platform"), F.col("route"), F.col("app_version")).alias("key")), "iss-docs")
-    rest = docs if assignments is None else unassigned(docs, assignments)
-    prefix = "" if assignments is None else "u:"
-    fresh = clustering.leader_follower(rest, threshold=threshold).select("project_id", "id", F.concat(F.lit(prefix), "cluster_id").alias("cluster_id"))
-    labels = fresh if assignments is None else fresh.unionByName(assignments.select("project_id", "id", "cluster_id"))
-    labels = written(labels.select("id", F.concat_ws("/", "project_id", "cluster_id").alias("cluster_id")), "iss-labels")
-
-    counts = vectors.term_counts(docs.select("id", "tokens"), F.col("tokens"), "id")
-    idf = vectors.document_frequency(counts, docs.count())
-    vecs = written(vectors.tfidf(counts, idf, "id"), "iss-vectors")
-    labels = consolidate.relabel(labels, consolidate.consolidate(vecs, labels, merge))
-    members = written(labels.join(submissions, "id"), "iss-members")
-
-    ranked = rank.rank(members.select("cluster_id", "user_id", "kind", "client_ts", "mrr", F.col("ingest_seq").alias("seq")), now)
+    beside = ("user_id", "kind", "client_ts", "mrr", "route", "terms", "tf")
+    docs = bags.token_bags(submissions.withColumn("seq", F.col("ingest_seq")), "id", "cluster_text", "project_id", "seq", *beside[:-2])
+    if assignments is None:
+        labelled = clustering.leader_follower(docs, threshold=threshold, beside=beside).drop("similarity")
+    else:
+        docs = written(docs, "iss-docs")
+        fresh = clustering.leader_follower(unassigned(docs, assignments), threshold=threshold, beside=beside).drop("similarity").withColumn("cluster_id", F.concat(F.lit("u:"), "cluster_id"))
+        labelled = fresh.unionByName(docs.join(assignments.select("project_id", "id", "cluster_id"), ["project_id", "id"]))
+    labelled = written(labelled.withColumn("cluster_id", F.concat_ws("/", "project_id", "cluster_id")), "iss-labels")
+
+    own = ["id", "cluster_id", "seq", *beside[:-2]]
+    n_docs = labelled.count() if assignments is None else docs.count()
+    vecs = written(vectors.bag_vectors(labelled, n_docs, *own, empty=True), "iss-vectors")
+    merges = mean_linkage.consolidate_means(vecs.filter("size(tids) > 0"), merge) if merge > 0 else consolidate.consolidate(vecs, vecs, merge)
+    vecs = consolidate.relabel(vecs, maybe_broadcast(written(merges, "iss-merges")))
+    members = vecs.drop("tids", "ws")
+
+    ranked = rank.rank(members.select("cluster_id", "user_id", "kind", "client_ts", "mrr", "seq"), now)
     ranked = written(ranked.limit(limit) if limit else ranked, "iss-ranked")
-    shown = members.filter(F.col("kind").isNull() | ~F.col("kind").isin(*rank.EXCLUDED_KINDS)).join(ranked.select("cluster_id"), "cluster_id", "left_semi")
-    med = vectors.medoids(vecs, shown.select("id", "cluster_id", F.col("ingest_seq").alias("seq")), "id")
+    kept = maybe_broadcast(ranked.select("cluster_id"))
+    shown, seen = (x.filter(F.col("kind").isNull() | ~F.col("kind").isin(*rank.EXCLUDED_KINDS)).join(kept, "cluster_id", "left_semi") for x in (members, vecs))
+    med = written(vectors.bag_medoids(seen, "id"), "iss-medoids")
     texts = submissions.select("id", "body")
-    q = quotes(shown, med, n_quotes).join(texts, "id").groupBy("cluster_id").agg(F.array_sort(F.collect_list(F.struct("k", "id", "body"))).alias("quotes"))
-    title = med.join(texts, "id").select("cluster_id", F.col("id").alias("medoid_id"), F.col("body").alias("title"))
+    q = maybe_broadcast(written(quotes(shown, maybe_broadcast(med), n_quotes), "iss-quotes")).join(texts, "id").groupBy("cluster_id").agg(F.array_sort(F.collect_list(F.struct("k", "id", "body"))).alias("quotes"))
+    title = maybe_broadcast(med).join(texts, "id").select("cluster_id", F.col("id").alias("medoid_id"), F.col("body").alias("title"))
     return (
         ranked.withColumn("explanation", rank.explain()).join(title, "cluster_id", "left").join(kind_histogram(shown), "cluster_id", "left")
         .join(top_route(shown).select("cluster_id", F.col("route").alias("top_route"), F.col("share").alias("route_share")), "cluster_id", "left").join(q, "cluster_id", "left")

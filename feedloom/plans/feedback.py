@@ -277,7 +277,7 @@ def sparse_cosine_search(spark, sf):
     """Every row whose id is divisible by 20 as a query against all rows: matches from a cosine of 0.3 on."""
     docs = table(spark, sf, "documents")
     counted = written(bags.token_bags(docs, "doc_id", "text"), "bags")
-    v = written(vectors.bag_vectors(counted, docs.count()), "tfidf")
+    v = written(vectors.bag_vectors(counted, docs.count(), "doc_id"), "tfidf")
     c = vectors.cosine_matches(v, v.filter(F.col("doc_id") % 20 == 0), 0.3).filter(F.col("query_id") != F.col("doc_id"))
     return c.select("query_id", "doc_id", F.round("cosine", 5).alias("cosine"))
 

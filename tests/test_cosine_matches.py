@@ -35,7 +35,7 @@ def test_matches_are_those_of_the_join_and_shuffle_none_of_it(spark, monkeypatch
         monkeypatch.setattr(runtime, "BROADCAST_ROWS", 10)
         monkeypatch.setattr(vectors, "MATCH_QUERIES", 20)
         monkeypatch.setattr(vectors, "MATCH_CELLS", 300)
-    v = runtime.written(vectors.bag_vectors(bags.token_bags(docs, "doc_id", "text"), n), "test-bags")
+    v = runtime.written(vectors.bag_vectors(bags.token_bags(docs, "doc_id", "text"), n, "doc_id"), "test-bags")
     found = vectors.cosine_matches(v, v.filter("doc_id % 4 = 0"), 0.2)
     rows = found.collect()
     got = {(r.query_id, r.doc_id): r.cosine for r in rows}
@@ -45,7 +45,7 @@ def test_matches_are_those_of_the_join_and_shuffle_none_of_it(spark, monkeypatch
 
 def test_no_queries_no_terms(spark):
     docs = spark.createDataFrame([(1, "the"), (2, None)], "doc_id bigint, text string")
-    v = vectors.bag_vectors(bags.token_bags(docs, "doc_id", "text"), 2)
+    v = vectors.bag_vectors(bags.token_bags(docs, "doc_id", "text"), 2, "doc_id")
     assert v.count() == 0 and vectors.cosine_matches(v, v, 0.3).count() == 0
 
 
